@@ -18,7 +18,7 @@ def slices(batch: pa.RecordBatch, column: int, max_bytes: int) -> Iterator[pa.Re
         return
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     part = (np.cumsum(lengths) - 1) // max_bytes
-    starts = np.flatnonzero(np.diff(part, prefix=part[0] - 1))
+    starts = np.flatnonzero(np.diff(part, prepend=part[0] - 1))
     for a, b in zip(starts, [*starts[1:], n], strict=True):
         yield batch.slice(int(a), int(b - a))
 
