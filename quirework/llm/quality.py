@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import fresh
 from .textbatch import Words, hash_words, mix64, plain, slices
@@ -272,9 +273,7 @@ def score(docs: DataFrame, models: Models, names: tuple[str, str] = ("p_quality"
                 extra = [pa.nulls(batch.num_rows, pa.float64()) if m is None else pa.array(m.probability(f), pa.float64(), mask=blank) for m in (held.value.quality, held.value.toxic)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], out_names)
 
-    schema = docs.schema
-    for name in out_names[-2:]:
-        schema = schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in out_names[-2:]]])
     return docs.mapInArrow(run, schema)
 
 

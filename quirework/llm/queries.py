@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup
+import corpus_pipeline
+
+from . import decontam, hosts, linededup, neardup, packing, quality, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(_table(spark, sf_dir, "pages"))
+
+
+def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -21,9 +31,34 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality_rules(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
+def op7_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_windows(_table(spark, sf_dir, "documents"))
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.url_filter(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontaminate, op5_line_dedup)}
+    return {
+        f.__name__: f
+        for f in (op1_warc_archive, op2_token_matrices, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_pack_windows, op9_near_duplicates, op10_url_filter, pipeline)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.oracle()}
+    sql = {"op1_warc_archive": warc.oracle(), "op5_line_dedup": linededup.oracle(), "op10_url_filter": hosts.oracle()}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
