@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontam, hosts, linededup, neardup, packing, quality, warc, windows
+from . import chat, decontam, hosts, licenses, linededup, neardup, packing, quality, warc, windows
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_token_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -40,6 +44,10 @@ def op7_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.pack_windows(_table(spark, sf_dir, "documents"))
 
 
+def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_warc_archive, op2_token_matrices, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_pack_windows, op9_near_duplicates, op10_url_filter, pipeline)
+        for f in (op1_warc_archive, op2_token_matrices, op3_license_scan, op4_decontaminate, op5_line_dedup, op6_quality_rules, op7_pack_windows, op8_chat_trees, op9_near_duplicates, op10_url_filter, pipeline)
     }
 
 
