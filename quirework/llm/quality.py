@@ -145,16 +145,60 @@ def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def _telling(col: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, fits: np.ndarray, bits: int, most: int) -> np.ndarray:
-    """Which slots to train on: those whose means differ most between the labels, in standard errors."""
-    on = fits[row]
-    c, v, up = col[on], val[on], y[row[on]] == 1
+@dataclass
+class Sample:
+    """Slot counts of all rows as flat arrays of (slot, count, row); chunked reads keep temporaries small."""
+
+    col: np.ndarray
+    val: np.ndarray
+    row: np.ndarray
+    rows: int
+
+    @staticmethod
+    def of(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Sample:
+        cols, vals, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], []
+        for slots, counts in pairs:
+            cols.append(slots)
+            vals.append(counts)
+            sizes.append(len(slots))
+        return Sample(np.concatenate(cols), np.concatenate(vals), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), len(sizes))
+
+    def chunks(self, size: int = 1 << 19) -> Iterator[slice]:
+        for k in range(0, len(self.col), size):
+            yield slice(k, k + size)
+
+    def totals(self, bits: int) -> np.ndarray:
+        """(rows, 3): each family's count."""
+        out = np.zeros(self.rows * 3)
+        for part in self.chunks():
+            out += np.bincount(self.row[part].astype(np.int64) * 3 + (self.col[part] >> bits), self.val[part], self.rows * 3)
+        return out.reshape(-1, 3)
+
+    def values(self, part: slice | np.ndarray, totals: np.ndarray | None, bits: int) -> np.ndarray:
+        if totals is None:
+            return self.val[part].astype(np.float64)
+        return self.val[part] / totals[self.row[part], self.col[part] >> bits]
+
+
+def _telling(sample: Sample, totals: np.ndarray | None, y: np.ndarray, fits: np.ndarray, bits: int, most: int) -> np.ndarray:
+    """Which slots to train on: those whose means differ most between the labels, in standard errors.
+
+    Shares are compared where ``totals`` are given, occurrence otherwise.
+    """
     slots, n1 = 3 << bits, max(1.0, y[fits].sum())
     n0 = max(1.0, fits.sum() - n1)
-    a1, a0 = np.bincount(c, v * up, slots) / n1, np.bincount(c, v * ~up, slots) / n0
-    s1, s0 = np.bincount(c, v * v * up, slots) / n1 - a1**2, np.bincount(c, v * v * ~up, slots) / n0 - a0**2
-    floor = np.bincount(c, v * v, slots) / (n1 + n0) / 10
-    z = np.abs(a1 - a0) / np.sqrt((s1 + floor) / n1 + (s0 + floor) / n0 + 1e-18)
+    sums = np.zeros((2, slots))
+    squares = np.zeros((2, slots))
+    for part in sample.chunks():
+        r, c = sample.row[part], sample.col[part]
+        v = np.ones(len(c)) if totals is None else sample.values(part, totals, bits)
+        for k in (0, 1):
+            w = v * (fits & (y == k))[r]
+            sums[k] += np.bincount(c, w, slots)
+            squares[k] += np.bincount(c, w * v, slots)
+    a1, a0 = sums[1] / n1, sums[0] / n0
+    floor = (squares[0] + squares[1]) / (n1 + n0) / 10
+    z = np.abs(a1 - a0) / np.sqrt((squares[1] / n1 - a1**2 + floor) / n1 + (squares[0] / n0 - a0**2 + floor) / n0 + 1e-18)
     out = np.zeros(slots, bool)
     out[np.argsort(-z, kind="stable")[:most]] = True
     return out & (z > 0)
@@ -188,35 +232,33 @@ def _sparse(slope, size: int, n: int, square: np.ndarray, rounds: int = 600) ->
     return w[:-1], float(w[-1])
 
 
-def fit(slots: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, held_out: np.ndarray, shares: bool, bits: int = BITS) -> Model:
-    """Weights from the rows that aren't held out, classes weighing alike; calibrated on the others."""
-    lengths = np.array([len(s) for s in slots])
-    col = np.concatenate([*slots, np.zeros(0, np.int32)]).astype(np.int64)
-    val = np.concatenate([*counts, np.zeros(0, np.float32)]).astype(np.float64)
-    row = np.repeat(np.arange(len(slots)), lengths)
-    if shares:
-        family = col >> bits
-        total = np.zeros((len(slots), 3))
-        np.add.at(total, (row, family), val)
-        val = val / total[row, family]
-    fits = ~held_out
-    keep = _telling(col, val if shares else np.ones_like(val), row, y, fits, bits, 20_000 if shares else 1_000)[col]
-    col, val, row = col[keep], val[keep], row[keep]
-    used, at = np.unique(col, return_inverse=True)
+def fit(sample: Sample, y: np.ndarray, held_out: np.ndarray, use: np.ndarray, shares: bool, bits: int = BITS) -> Model:
+    """Weights from the rows in ``use`` that aren't held out, classes weighing alike; calibrated on the others."""
+    fits = use & ~held_out
+    totals = sample.totals(bits) if shares else None
+    chosen = _telling(sample, totals, y, fits, bits, 20_000 if shares else 1_000)
+    used = np.flatnonzero(chosen)
+    place = np.full(len(chosen), -1, np.int64)
+    place[used] = np.arange(len(used))
     scale = 30.0 if shares else 1.0
-    x = val * scale
+    parts = []
+    for part in sample.chunks():
+        keep = np.flatnonzero(chosen[sample.col[part]]) + part.start
+        parts.append((place[sample.col[keep]], sample.row[keep].astype(np.int64), sample.values(keep, totals, bits) * scale))
+    at, row, x = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    del parts
     n = max(1, fits.sum())
     up = y[fits].sum()
     balance = np.where(y == 1, 0.5 * n / max(1, up), 0.5 * n / max(1, n - up)) * fits
-    rows = len(slots)
+    rows = sample.rows
 
     def slope(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         e = (_sigmoid(np.bincount(row, x * w[at], rows) + bias) - y) * balance / n
         return np.bincount(at, x * e[row], len(used)), float(e.sum())
 
     w, bias = (_adam if shares else _sparse)(slope, len(used), n, np.bincount(at, x * x * balance[row], len(used)) / n)
-    score = np.bincount(row, x * w[at], len(slots)) + bias
-    on = held_out if len(set(y[held_out])) == 2 else np.ones(len(y), bool)
+    score = np.bincount(row, x * w[at], rows) + bias
+    on = use & held_out if len(set(y[use & held_out])) == 2 else use
     a, b = _platt(score[on], y[on])
     weights = np.zeros((3, 1 << bits))
     weights[used >> bits, used & ((1 << bits) - 1)] = w * scale
@@ -262,21 +304,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, bits:
         return Models(None, None)
     small = F.broadcast(spark.createDataFrame(rows, "id long, h long, quality int, toxic int"))
     found = docs.where("text is not null").select("doc_id", "text").join(small, F.col("doc_id") == F.col("id"))
-    got = _counted(found.drop("doc_id", "id"), bits).toArrow().sort_by([("h", "ascending"), ("quality", "ascending")])
-    slots = [np.frombuffer(b, np.int32) for b in got["slots"].to_pylist()]
-    counts = [np.frombuffer(b, np.float32) for b in got["counts"].to_pylist()]
-    h = got["h"].to_numpy()
+    counted = _counted(found.drop("doc_id", "id"), bits)
+    marks: list[tuple] = []
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for r in counted.toLocalIterator():  # a partition of the sample at a time
+        marks.append((r["h"], r["quality"], r["toxic"]))
+        pairs.append((np.frombuffer(bytes(r["slots"]), np.int32), np.frombuffer(bytes(r["counts"]), np.float32)))
+    order = sorted(range(len(marks)), key=lambda i: (marks[i][0], len(pairs[i][0]), pairs[i][0].tobytes()[:64]))
+    table = Sample.of(pairs[i] for i in order)
+    del pairs
+    h = np.array([marks[i][0] for i in order], dtype=np.int64)
     out = []
-    for label, shares in (("quality", True), ("toxic", False)):
-        y = got[label].to_pandas().to_numpy(dtype=float)
-        has = np.flatnonzero(~np.isnan(y))
-        if len(set(y[has])) < 2:
+    for k, shares in ((1, True), (2, False)):
+        y = np.array([np.nan if marks[i][k] is None else marks[i][k] for i in order], dtype=float)
+        use = ~np.isnan(y)
+        if len(set(y[use])) < 2:
             out.append(None)
             continue
-        held = (h[has] // 7 % 4) == 0
-        if len(set(y[has][~held])) < 2:
+        held = use & ((h // 7 % 4) == 0)
+        if len(set(y[use & ~held])) < 2:
             held[:] = False
-        out.append(fit([slots[i] for i in has], [counts[i] for i in has], y[has], held, shares, bits))
+        out.append(fit(table, np.nan_to_num(y), held, use, shares, bits))
     return Models(*out)
 
 
