@@ -1,15 +1,234 @@
-"""Registry of the library's own queries and the SQL they are checked against."""
+"""Registry of the library's own queries and the SQL they are checked against.
+
+Most read whole ``documents`` as books, each document a book of pages of three lines, so that books are
+as many as documents and none is large; ``conversations`` are books of turns.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import templates, text
+from ..operators import check, detect, layout, lexicon, mine
+from ..operators.segment import segment_pages
+from ..sources import pages as books
+from ..streaming import pages as streams
+from . import advisor, oracles, profiles, tooling
+
+Query = Callable[[SparkSession, str], DataFrame]
+STARTS = ("The ", "And ", "Of ", "De ", "En ", "La ")
+ANY_START = "|".join(STARTS)
+#: Arabic branches have no text in the tables: a small book of our own wording.
+LEXICON = [
+    "## باب السين\nسحب: جر الشيء على الأرض.\nسبح: عام في الماء.\n## سفر\nوسفرة: طعام الراحل.",
+    "سقف: غطاء البيت\nوقال\nقال: كلمة لا تعد مدخلا.\nسلم، سلّم: الصلح",
+    "(س ل م)\nسمع: أدرك الصوت وأسماع: جمعه.\n## فصل في المهمل\nسند: ما يعتمد عليه.",
+]
+PROFILE = profiles.PROFILES["plain"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a book; narrow."""
+    n = oracles.LINES_PER_PAGE
+    listed = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("book_id"), F.split("text", "\n", -1).alias("lines"))
+    paged = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / n).cast("int")), lambda k: F.array_join(F.slice("lines", k * n + 1, F.lit(n)), "\n"))
+    out = listed.select("book_id", F.posexplode(paged).alias("k", "content"))
+    number = (F.col("k") + 1).cast("long")
+    return out.select("book_id", number.alias("page_seq"), number.alias("page_id"), "content")
+
+
+def chat_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a book of turns."""
+    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), seq.alias("page_seq"), F.col("turn").cast("long").alias("page_id"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def lexicon_book(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("lexicon", k, k, page) for k, page in enumerate(LEXICON, 1)], books.PAGES)
+
+
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a book of one page."""
+    one = F.lit(1).cast("long")
+    return _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("book_id"), one.alias("page_seq"), F.col("doc_id").cast("long").alias("page_id"), F.col("text").alias("content"))
+
+
+def _flat(segments: DataFrame) -> DataFrame:
+    return segments.select("book_id", F.col("seg_seq").cast("long").alias("seg_seq"), "content", "from_id", "to_id", F.coalesce(F.to_json("meta"), F.lit("{}")).alias("meta"))
+
+
+def _cut(options: dict, source: Query = document_books) -> Query:
+    return lambda spark, sf_dir: _flat(segment_pages(source(spark, sf_dir), options))
+
+
+def _cleaned(column: Callable, table: str = "documents") -> Query:
+    return lambda spark, sf_dir: _table(spark, sf_dir, table).where("text is not null").select("doc_id", column(F.col("text")).alias("content"))
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_offsets(chat_books(spark, sf_dir)).select("book_id", "page_seq", "page_id", "start", (F.col("end") - F.col("start")).alias("size"))
+
+
+def _line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.lines(document_books(spark, sf_dir)).select("book_id", "page_seq", F.col("line_no").cast("long").alias("line_no"), F.col("local").cast("long").alias("local"), "line")
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, options = document_books(spark, sf_dir), {"rules": [{"lineStartsWith": list(STARTS)}]}
+    segments = segment_pages(pages, options)
+    return check.validation_summary(check.validate_segments(pages, options, segments), segments)
+
+
+def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of segments that were damaged in three ways, by their number."""
+    pages, options = chat_books(spark, sf_dir), {"maxPages": 0, "breakpoints": [""]}
+    bad = segment_pages(pages, options).withColumn("kind", F.col("seg_seq") % 4)
+    bad = bad.withColumn("content", F.when(F.col("kind") == 1, F.concat(F.lit("absent "), "content")).otherwise(F.col("content"))).withColumn("from_id", F.when(F.col("kind") == 2, F.lit(-5)).otherwise(F.col("from_id")))
+    return check.validate_segments(pages, options, bad).groupBy("type").agg(F.count(F.lit(1)).alias("count"))
+
+
+CANDIDATES = [{"rules": [{"lineStartsWith": list(STARTS)}]}, {"maxPages": 0, "breakpoints": [""]}, {"rules": [{"regex": "("}]}]
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.score_candidates(chat_books(spark, sf_dir), CANDIDATES).select("index", "score", "segment_count", "max_length", "multi_page", "issues", "best")
+
+
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunked = books.row_chunks(_table(spark, sf_dir, "documents").select("doc_id"), 7, "doc_id")
+    return books.chunk_manifest(chunked, "doc_id").select(F.col("chunk").cast("long").alias("chunk"), "rows", "first", "last")
+
+
+def _book_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return books.validate_book(chat_books(spark, sf_dir)).groupBy("problem").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine.common_line_starts(document_books(spark, sf_dir), sort_by="count").select("pattern", "count", F.get("examples", 0)["line"].alias("example"))
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mine.repeating_sequences(whole_documents(spark, sf_dir), 2, 2, require_token=False, max_unique_patterns=None)
+    return found.select("pattern", "count", F.col("token_count").cast("long").alias("token_count"), F.col("literal_length").cast("long").alias("literal_length"))
+
+
+def _suggested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.lines(document_books(spark, sf_dir)).select("book_id", "page_seq", "line_no", "line")
+    return detect.suggest_rules(lines).groupBy("pattern_type", "meta_type").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def _templates(spark: SparkSession, _: str) -> DataFrame:
+    rows = [(t, templates.expand_tokens(t), ",".join(templates.expand(t).captures)) for t in ("{{raqms:num}} {{dash}}", "{{naql}} {{:rest}}", "{{num:a}}/{{num:a}}", "{{none}}")]
+    return _rows(spark, rows, "template string, pattern string, captures string")
+
+
+def _optimized(spark: SparkSession, _: str) -> DataFrame:
+    rules, merged = tooling.optimize_rules([{"lineStartsWith": ["A"]}, {"template": "{{raqms}} {{dash}} long"}, {"lineStartsWith": ["Longer", "A"]}, {"lineEndsWith": ["."]}])
+    return _rows(spark, [(k, json.dumps(r, sort_keys=True), merged) for k, r in enumerate(rules)], "place int, rule string, merged int")
+
+
+def _rule_issues(spark: SparkSession, _: str) -> DataFrame:
+    rules = [{"lineStartsWith": ["{{raqms}} x", "raqms x", "{{nope}}", "", "{{raqms}} x"]}, {"regex": "("}, {"dictionaryEntry": {"stopWords": "no", "minLetters": 0}}]
+    return _rows(spark, [(k, r) for k, r in enumerate(tooling.format_report(tooling.validate_rules(rules)))], "place int, issue string")
+
+
+def _headings(spark: SparkSession, _: str) -> DataFrame:
+    heads = ["## باب الجيم", "## كلمة", "## س", "## قال بعضهم في هذا كلاما", "##"]
+    return _rows(spark, [(h, lexicon.classify_heading(h)) for h in heads], "heading string, kind string")
+
+
+def _diagnosed(facet: str) -> Query:
+    return lambda spark, _: lexicon.diagnose(lexicon_book(spark), PROFILE)[facet]
+
+
+def _advised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = advisor.suggest_options(document_books(spark, sf_dir))
+    rows = [(k, s["source"], s["confidence"], s["pattern"], s["count"], report["assessment"]["mode"]) for k, s in enumerate(report["rule_suggestions"])]
+    return _rows(spark, rows, "place int, source string, confidence string, pattern string, count long, mode string")
+
+
+def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.normalize_for_comparison("text").alias("content"))
+
+
+GUARDED = {"lineStartsWith": ["The ", "Of "], "pageStartGuard": "{{tarqim}}"}
+CAPTURED = {"regex": "^(?<w>The|And|Of|De|La) ", "meta": {"kind": "head"}}
+_REGISTERED: dict[str, tuple[Query, str | None]] = {
+    # segmentation
+    "segment_documents": (_cut({"rules": [{"lineStartsWith": list(STARTS)}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})"))),
+    "split_starts_after": (_cut({"rules": [{"lineStartsAfter": list(STARTS)}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})", off=f"length(regexp_extract(line, '^(?:{ANY_START})'))"))),
+    "split_ends_with": (_cut({"rules": [{"lineEndsWith": ["re.", "on."]}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line) - 3"))),
+    "split_ends_with_after": (_cut({"rules": [{"lineEndsWith": ["re.", "on."], "split": "after"}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line)"))),
+    "split_template": (_cut({"rules": [{"template": "{{tarqim}}{{newline}}", "split": "after"}]}), None),
+    "split_regex_capture": (_cut({"rules": [CAPTURED]}), oracles.split(oracles.line_hits("^(?:The|And|Of|De|La) ", meta="""'{"kind":"head","w":"' || regexp_extract(line, '^(The|And|Of|De|La) ', 1) || '"}'"""))),
+    "split_first": (_cut({"rules": [{"lineStartsWith": list(STARTS), "occurrence": "first"}]}), oracles.split(oracles.nth_hit(oracles.line_hits(f"^(?:{ANY_START})"), "ASC"))),
+    "split_last": (_cut({"rules": [{"lineStartsWith": list(STARTS), "occurrence": "last"}]}), oracles.split(oracles.nth_hit(oracles.line_hits(f"^(?:{ANY_START})"), "DESC"))),
+    "split_page_range": (_cut({"rules": [{"lineStartsWith": list(STARTS), "min": 2, "max": 9, "exclude": [3, [5, 6]]}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})", where="page_id BETWEEN 2 AND 9 AND page_id NOT IN (3, 5, 6)"), preamble="first_id >= 2")),
+    "split_page_guard": (_cut({"rules": [GUARDED]}), None),
+    "split_newline_joiner": (_cut({"rules": [{"lineStartsWith": list(STARTS)}], "pageJoiner": "newline"}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})"), joiner="chr(10)")),
+    "split_two_rules": (_cut({"rules": [{"lineStartsWith": ["The "], "meta": {"kind": "a"}}, {"lineStartsWith": ["Of "], "meta": {"kind": "b"}}]}), oracles.split(oracles.line_hits("^(?:The |Of )", meta="""CASE WHEN line LIKE 'The %' THEN '{"kind":"a"}' ELSE '{"kind":"b"}' END"""))),
+    "split_fuzzy_entries": (_cut({"rules": [{"lineStartsAfter": ["{{bab}} "], "meta": {"type": "chapter"}}, {"dictionaryEntry": {"stopWords": ["قال"]}}]}, lambda spark, _: lexicon_book(spark)), None),
+    # breakpoints
+    "break_single_pages": (_cut({"maxPages": 0, "breakpoints": [""]}, chat_books), oracles.page_breaks(0)),
+    "break_one_page_on": (_cut({"maxPages": 1, "breakpoints": [""]}, chat_books), oracles.page_breaks(1)),
+    "break_punctuation": (_cut({"maxPages": 1, "breakpoints": ["{{tarqim}}\\s*", ""]}), None),
+    "break_shorter": (_cut({"maxPages": 0, "breakpoints": ["{{tarqim}}"], "prefer": "shorter"}), None),
+    "break_words": (_cut({"maxPages": 1, "breakpoints": [{"words": ["the ", "de ", "und "]}]}), None),
+    "break_length": (_cut({"maxContentLength": 500, "breakpoints": ["{{tarqim}}", "{{newline}}", ""]}), None),
+    # projections and sources
+    "clean_zero_width": (_cleaned(text.remove_zero_width), oracles.preprocessed(r"regexp_replace(text, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')")),
+    "clean_ellipsis": (_cleaned(text.condense_ellipsis), oracles.preprocessed("regexp_replace(text, '[.]{2,}', '…', 'g')")),
+    "clean_waw": (_cleaned(text.fix_trailing_waw), oracles.preprocessed("replace(text, ' و ', ' و')")),
+    "collapse_whitespace": (_cleaned(text.collapse_whitespace), oracles.preprocessed(oracles._trim(f"regexp_replace(text, '{oracles.SPACE}+', ' ', 'g')"))),
+    "normalize_for_comparison": (_normalized, oracles.preprocessed(oracles._trim(f"regexp_replace(regexp_replace(nfc_normalize(text), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{oracles.SPACE}+', ' ', 'g')"))),
+    "html_text": (lambda spark, sf_dir: _table(spark, sf_dir, "pages").where("html is not null").select("page_id", text.strip_html("html").alias("content")), oracles.html_text()),
+    "page_offsets": (_offsets, f"WITH {oracles.CHATS} SELECT book_id, page_seq, page_id, CAST(start AS BIGINT) AS start, size FROM starts"),
+    "page_lines": (_line_rows, f"WITH {oracles.PAGES} SELECT book_id, page_seq, line_no, CAST(local AS BIGINT) AS local, line FROM lines"),
+    "row_chunks": (_chunks, "SELECT chunk, count(*) AS rows, min(doc_id) AS first, max(doc_id) AS last FROM (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // CAST(ceil((SELECT count(*) FROM documents) / 7) AS BIGINT) AS chunk FROM documents) GROUP BY chunk"),
+    "book_problems": (_book_problems, f"WITH {oracles.CHATS}, p AS (SELECT CASE WHEN page_id IS NULL OR page_id <= 0 THEN 'id_not_positive' WHEN count(*) OVER (PARTITION BY book_id, page_id) > 1 THEN 'duplicate_id' WHEN content = '' THEN 'empty_content' END AS problem FROM pages) SELECT problem, count(*) AS count FROM p WHERE problem IS NOT NULL GROUP BY problem"),
+    # detection and mining
+    "detect_tokens": (lambda spark, sf_dir: detect.token_counts(whole_documents(spark, sf_dir)), oracles.token_counts()),
+    "suggest_rules": (_suggested, None),
+    "preprocess_detections": (lambda spark, sf_dir: detect.page_detections(whole_documents(spark, sf_dir)), oracles.detections()),
+    "common_line_starts": (_line_starts, None),
+    "repeating_sequences": (_sequences, oracles.sequences(20, 3)),
+    # validation and advice
+    "validate_segments": (_validated, None),
+    "validate_damaged": (_damaged, None),
+    "score_candidates": (_scored, None),
+    "advise_options": (_advised, None),
+    # lexicon
+    "lexicon_segments": (_cut({"dictionary": PROFILE}, lambda spark, _: lexicon_book(spark)), None),
+    "lexicon_surface": (lambda spark, _: lexicon.surface_counts(lexicon_book(spark)), None),
+    "lexicon_totals": (_diagnosed("totals"), None),
+    "lexicon_by_kind": (_diagnosed("by_kind"), None),
+    "lexicon_by_reason": (_diagnosed("by_reason"), None),
+    "heading_classes": (_headings, None),
+    # configuration
+    "expand_templates": (_templates, None),
+    "optimize_rules": (_optimized, None),
+    "validate_rules": (_rule_issues, None),
+    # streaming
+    "stream_line_starts": (lambda spark, sf_dir: streams.count_line_starts(spark, f"{sf_dir}/documents.parquet"), oracles.first_words()),
+}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTERED.items() if sql}

@@ -169,8 +169,12 @@ class Options:
         if joiner not in ("space", "newline"):
             raise ValueError(f"pageJoiner must be 'space' or 'newline', not {joiner!r}")
         breaks = [Breakpoint.of(b) for b in raw.get("breakpoints") or ()]
+        rules = tuple(Rule.of(r) for r in raw.get("rules") or ())
+        for source in [r.source() for r in rules] + [b.source() for b in breaks if b]:
+            if source is not None:
+                dialect.compile_python(source)  # wrong patterns fail here and not in a worker
         return Options(
-            tuple(Rule.of(r) for r in raw.get("rules") or ()), raw.get("dictionary"), tuple(raw.get("preprocess") or ()), raw.get("maxPages"), limit,
+            rules, raw.get("dictionary"), tuple(raw.get("preprocess") or ()), raw.get("maxPages"), limit,
             tuple(b for b in breaks if b), raw.get("prefer", "longer"), joiner, bool(raw.get("debug")),
         )
 
