@@ -128,20 +128,27 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Newton's method for P(y) = sigmoid(a * score + b), with Platt's smoothed targets."""
+    """Newton's method with backtracking for P(y) = sigmoid(a * score + b), with Platt's smoothed targets."""
     up, down = y.sum(), len(y) - y.sum()
     target = np.where(y == 1, (up + 1) / (up + 2), 1 / (down + 2))
-    a, b = 1.0, 0.0
-    for _ in range(60):
+
+    def loss(a: float, b: float) -> float:
+        z = a * score + b
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-7 * a * a)
+
+    a, b = 0.0, float(np.log((up + 1) / (down + 1)))
+    now = loss(a, b)
+    for _ in range(100):
         p = _sigmoid(a * score + b)
         g = np.array([((p - target) * score).sum() + 1e-6 * a, (p - target).sum()])
         v = p * (1 - p) + 1e-9
         h = np.array([[(v * score * score).sum() + 1e-6, (v * score).sum()], [(v * score).sum(), v.sum() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        norm = np.abs(step).max()
-        a, b = a - step[0] * min(1, 5 / max(norm, 1e-12)), b - step[1] * min(1, 5 / max(norm, 1e-12))
-        if norm < 1e-8:
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-10 and not (then := loss(a - size * step[0], b - size * step[1])) < now - 1e-4 * size * (g @ step):
+            size /= 2
+        if size <= 1e-10 or np.abs(g).max() < 1e-9:
             break
+        a, b, now = a - size * step[0], b - size * step[1], then
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
