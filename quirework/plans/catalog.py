@@ -170,8 +170,8 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     # segmentation
     "segment_documents": (_cut({"rules": [{"lineStartsWith": list(STARTS)}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})"))),
     "split_starts_after": (_cut({"rules": [{"lineStartsAfter": list(STARTS)}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})", off=f"length(regexp_extract(line, '^(?:{ANY_START})'))"))),
-    "split_ends_with": (_cut({"rules": [{"lineEndsWith": ["re.", "on."]}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line) - 3"))),
-    "split_ends_with_after": (_cut({"rules": [{"lineEndsWith": ["re.", "on."], "split": "after"}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line)"))),
+    "split_ends_with": (_cut({"rules": [{"lineEndsWith": ["re\\.", "on\\."]}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line) - 3"))),
+    "split_ends_with_after": (_cut({"rules": [{"lineEndsWith": ["re\\.", "on\\."], "split": "after"}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line)"))),
     "split_template": (_cut({"rules": [{"template": "{{tarqim}}{{newline}}", "split": "after"}]}), None),
     "split_regex_capture": (_cut({"rules": [CAPTURED]}), oracles.split(oracles.line_hits("^(?:The|And|Of|De|La) ", meta="""'{"kind":"head","w":"' || regexp_extract(line, '^(The|And|Of|De|La) ', 1) || '"}'"""))),
     "split_first": (_cut({"rules": [{"lineStartsWith": list(STARTS), "occurrence": "first"}]}), oracles.split(oracles.nth_hit(oracles.line_hits(f"^(?:{ANY_START})"), "ASC"))),
