@@ -19,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import tokens
-from .storage import checkpoint
+from .storage import checkpoint, running
 
 
 def render(role: str, text: str) -> str:
@@ -71,8 +71,8 @@ def format_chats(conversations: DataFrame, tokenizer: str = tokens.TOKENIZER) ->
     """
     turns = _turns(conversations)
     paths = checkpoint(_paths(turns))
-    by_path = W.partitionBy("tree").orderBy("path", "conv_id")
-    ranked = checkpoint(paths.withColumn("rank", F.row_number().over(by_path)))
+    # ranks run on over all trees: a tree that every conversation shares is spread over tasks all the same
+    ranked = checkpoint(running(paths, ["tree", "path", "conv_id"], F.lit(1), "rank"))
     steps = ranked.select("tree", "conv_id", "rank", F.posexplode("path").alias("depth", "node"))
     nodes = steps.groupBy("tree", "node").agg(F.min("depth").alias("depth"), F.min(F.struct("rank", "conv_id")).alias("first"), F.count(F.lit(1)).alias("conversations"))
     nodes = nodes.select("tree", "node", "depth", F.col("first.rank").alias("rank"), F.col("first.conv_id").alias("conv_id"), "conversations")
@@ -84,14 +84,16 @@ def format_chats(conversations: DataFrame, tokenizer: str = tokens.TOKENIZER) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], *extra], ["tree", "node", "depth", "rank", "conv_id", "conversations", "ids", "n_ids"])
 
     texts = nodes.join(turns, ["conv_id", "depth"]).select("tree", "node", "depth", "rank", "conv_id", "conversations", "role", "text")
-    coded = checkpoint(texts.mapInArrow(encode, "tree binary, node binary, depth int, rank int, conv_id long, conversations long, ids binary, n_ids int"))
-    # offsets in two steps, so that the window over a tree has a row for each conversation, not each node
+    coded = checkpoint(texts.mapInArrow(encode, "tree binary, node binary, depth int, rank long, conv_id long, conversations long, ids binary, n_ids int"))
+    # offsets in two steps: running sums over conversations, less those at the tree's first, then over a conversation's nodes
     own = coded.groupBy("tree", "rank").agg(F.sum(F.col("n_ids").cast("long")).alias("total"))
-    before = own.select("tree", "rank", (F.sum("total").over(W.partitionBy("tree").orderBy("rank")) - F.col("total")).alias("base"))
+    summed = checkpoint(running(own, ["rank"], F.col("total"), "before"))
+    first = summed.groupBy("tree").agg(F.min("before").alias("first"))
+    before = summed.join(first, "tree").select("tree", "rank", (F.col("before") - F.col("first")).alias("base"))
     inside = F.sum(F.col("n_ids").cast("long")).over(W.partitionBy("tree", "rank").orderBy("depth")) - F.col("n_ids")
     placed = coded.withColumn("inside", inside).join(before, ["tree", "rank"]).withColumn("start", F.col("base") + F.col("inside"))
     spans = placed.select("tree", "node", "start", "n_ids", F.col("rank").alias("owner"))
-    emitting = own.select("tree", "rank")
+    emitting = summed.select("tree", "rank")
     lines = steps.join(emitting, ["tree", "rank"]).join(spans, ["tree", "node"]).groupBy("tree", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "start", "n_ids", "owner"))).alias("line"))
 
     def relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,10 +112,10 @@ def format_chats(conversations: DataFrame, tokenizer: str = tokens.TOKENIZER) ->
                         seen.append([step["start"], step["start"] + step["n_ids"]])
                     position += step["n_ids"]
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), interval]
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), interval]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["tree", "rank", "depth", "position", "attends"])
 
-    related = lines.mapInArrow(relate, "tree binary, rank int, depth int, position long, attends array<struct<start: long, end: long>>")
+    related = lines.mapInArrow(relate, "tree binary, rank long, depth int, position long, attends array<struct<start: long, end: long>>")
     names = paths.groupBy("tree").agg(F.min("conv_id").alias("tree_id"))
     return placed.join(related, ["tree", "rank", "depth"]).join(names, "tree").select("tree_id", "start", "n_ids", "ids", "depth", "position", "attends", "conv_id", "conversations")
 
