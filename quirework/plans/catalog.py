@@ -172,12 +172,12 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     "split_starts_after": (_cut({"rules": [{"lineStartsAfter": list(STARTS)}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})", off=f"length(regexp_extract(line, '^(?:{ANY_START})'))"))),
     "split_ends_with": (_cut({"rules": [{"lineEndsWith": ["re\\.", "on\\."]}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line) - 3"))),
     "split_ends_with_after": (_cut({"rules": [{"lineEndsWith": ["re\\.", "on\\."], "split": "after"}]}), oracles.split(oracles.line_hits(r"(?:re\.|on\.)$", at="local + length(line)"))),
-    "split_template": (_cut({"rules": [{"template": "{{tarqim}}{{newline}}", "split": "after"}]}), None),
+    "split_template": (_cut({"rules": [{"template": "{{tarqim}}{{newline}}", "split": "after"}]}), oracles.split(oracles.sentence_line_hits())),
     "split_regex_capture": (_cut({"rules": [CAPTURED]}), oracles.split(oracles.line_hits("^(?:The|And|Of|De|La) ", meta="""'{"kind":"head","w":"' || regexp_extract(line, '^(The|And|Of|De|La) ', 1) || '"}'"""))),
     "split_first": (_cut({"rules": [{"lineStartsWith": list(STARTS), "occurrence": "first"}]}), oracles.split(oracles.nth_hit(oracles.line_hits(f"^(?:{ANY_START})"), "ASC"))),
     "split_last": (_cut({"rules": [{"lineStartsWith": list(STARTS), "occurrence": "last"}]}), oracles.split(oracles.nth_hit(oracles.line_hits(f"^(?:{ANY_START})"), "DESC"))),
     "split_page_range": (_cut({"rules": [{"lineStartsWith": list(STARTS), "min": 2, "max": 9, "exclude": [3, [5, 6]]}]}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})", where="page_id BETWEEN 2 AND 9 AND page_id NOT IN (3, 5, 6)"), preamble="first_id >= 2")),
-    "split_page_guard": (_cut({"rules": [GUARDED]}), None),
+    "split_page_guard": (_cut({"rules": [GUARDED]}), oracles.split(oracles.guarded_hits("^(?:The |Of )"))),
     "split_newline_joiner": (_cut({"rules": [{"lineStartsWith": list(STARTS)}], "pageJoiner": "newline"}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})"), joiner="chr(10)")),
     "split_two_rules": (_cut({"rules": [{"lineStartsWith": ["The "], "meta": {"kind": "a"}}, {"lineStartsWith": ["Of "], "meta": {"kind": "b"}}]}), oracles.split(oracles.line_hits("^(?:The |Of )", meta="""CASE WHEN line LIKE 'The %' THEN '{"kind":"a"}' ELSE '{"kind":"b"}' END"""))),
     "split_fuzzy_entries": (_cut({"rules": [{"lineStartsAfter": ["{{bab}} "], "meta": {"type": "chapter"}}, {"dictionaryEntry": {"stopWords": ["قال"]}}]}, lambda spark, _: lexicon_book(spark)), None),
@@ -203,7 +203,7 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     "detect_tokens": (lambda spark, sf_dir: detect.token_counts(whole_documents(spark, sf_dir)), oracles.token_counts()),
     "suggest_rules": (_suggested, None),
     "preprocess_detections": (lambda spark, sf_dir: detect.page_detections(whole_documents(spark, sf_dir)), oracles.detections()),
-    "common_line_starts": (_line_starts, None),
+    "common_line_starts": (_line_starts, oracles.line_starts(40, 3)),
     "repeating_sequences": (_sequences, oracles.sequences(20, 3)),
     # validation and advice
     "validate_segments": (_validated, None),

@@ -107,3 +107,23 @@ SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY part) AS seg_se
 
 def first_words() -> str:
     return r"SELECT start, count(*) AS count FROM (SELECT regexp_extract(line, '^([^\s]+)', 1) AS start FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)) WHERE start <> '' GROUP BY start"
+
+
+def sentence_line_hits() -> str:
+    """After a line end that follows closing punctuation."""
+    return r"SELECT book_id, page_seq, local + length(line) + 1 AS local, 0 AS off, '{}' AS meta FROM (SELECT *, lead(line) OVER (PARTITION BY book_id ORDER BY page_seq, line_no) AS after FROM lines) WHERE regexp_matches(line, '[.!?؟؛]$') AND after IS NOT NULL"
+
+
+def guarded_hits(pattern: str) -> str:
+    """Line starts; at a page's start only where the page before ends in closing punctuation."""
+    before = "(SELECT book_id, page_seq, lag(content) OVER (PARTITION BY book_id ORDER BY page_seq) AS before FROM pages)"
+    return f"SELECT book_id, page_seq, local, 0 AS off, '{{}}' AS meta FROM lines JOIN {before} USING (book_id, page_seq) WHERE regexp_matches(line, '{pattern}') AND (local > 0 OR before IS NULL OR regexp_matches(before, '[.!?؟؛]\\s*$'))"
+
+
+def line_starts(top_k: int, min_count: int) -> str:
+    """First words of lines: what signatures are where no line begins with a token."""
+    word = r"regexp_replace(regexp_extract(left(flat, 60), '^[^\s:،؛.?!؟]+'), '([.*+?^${}|\\])', '\\\1', 'g')"
+    flat = _trim(f"regexp_replace(line, '{SPACE}+', ' ', 'g')")
+    return f"""
+WITH {PAGES}, f AS (SELECT book_id, page_seq, line_no, {flat} AS flat FROM lines), w AS (SELECT *, {word} AS pattern FROM f WHERE length(flat) >= 6)
+SELECT pattern, count(*) AS count, min_by(flat, (book_id, page_seq, line_no)) AS example FROM w WHERE pattern <> '' GROUP BY pattern HAVING count(*) >= {min_count} ORDER BY count DESC, length(pattern) DESC, pattern LIMIT {top_k}"""
