@@ -206,8 +206,8 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     "common_line_starts": (_line_starts, oracles.line_starts(40, 3)),
     "repeating_sequences": (_sequences, oracles.sequences(20, 3)),
     # validation and advice
-    "validate_segments": (_validated, None),
-    "validate_damaged": (_damaged, None),
+    "validate_segments": (_validated, oracles.no_issues(oracles.split(oracles.line_hits(f"^(?:{ANY_START})")))),
+    "validate_damaged": (_damaged, oracles.damaged()),
     "score_candidates": (_scored, None),
     "advise_options": (_advised, None),
     # lexicon

@@ -127,3 +127,12 @@ def line_starts(top_k: int, min_count: int) -> str:
     return f"""
 WITH {PAGES}, f AS (SELECT book_id, page_seq, line_no, {flat} AS flat FROM lines), w AS (SELECT *, {word} AS pattern FROM f WHERE length(flat) >= 6)
 SELECT pattern, count(*) AS count, min_by(flat, (book_id, page_seq, line_no)) AS example FROM w WHERE pattern <> '' GROUP BY pattern HAVING count(*) >= {min_count} ORDER BY count DESC, length(pattern) DESC, pattern LIMIT {top_k}"""
+
+
+def no_issues(segments: str) -> str:
+    return f"SELECT count(*) AS segments, CAST(0 AS BIGINT) AS issues, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, true AS ok FROM ({segments})"
+
+
+def damaged() -> str:
+    """Every fourth segment has words that no page has, every fourth a page id that there isn't."""
+    return f"SELECT CASE seg_seq % 4 WHEN 1 THEN 'content_not_found' ELSE 'page_not_found' END AS type, count(*) AS count FROM ({page_breaks(0)}) WHERE seg_seq % 4 IN (1, 2) GROUP BY type"
