@@ -8,10 +8,11 @@ group's first member, which takes no global sort.  A group of equal rank by ``h`
 of the suffix array whose longest common prefix is ``h`` or more.  A suffix alone in its group is
 discarded at once, so after the first round only repeated text is left.
 
-A run counts from ``min_lines`` lines or, in fewer lines, from ``min_words`` words.  Doubling stops
-where ranks cover ``min_lines`` lines: every maximal repeated run is the union of overlapping windows
-of that depth, so nothing deeper changes what is deleted.  In each interval the member first in
-(doc_id, line) order stays, and the window's lines go in all others.
+A run counts from ``min_lines`` lines or, in fewer lines, from ``min_words`` words.  At each position
+every window of 1 to ``min_lines`` lines that counts is tested, not the shortest alone, which may reach
+past the end of a run that a longer one from further ahead fits.  Doubling stops where ranks cover
+``min_lines`` lines: a longer run is the union of its windows of that depth.  In each interval the
+member first in (doc_id, line) order stays, and the window's lines go in all others.
 """
 
 from __future__ import annotations
@@ -69,24 +70,24 @@ def _paired(state: DataFrame, left: DataFrame, ahead: Column) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> DataFrame:
-    """(did, key, pos, need): each window of ``need`` lines from ``pos`` that an earlier copy exists of."""
+    """(did, key, pos, depth): the longest window, of ``depth`` lines from ``pos``, that counts and that an earlier copy exists of."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
     lines = checkpoint(_lines(docs, min_lines, min_words, least_words))
     state, size, hits = checkpoint(_ranked(lines, ["id1", "id2"])), 1, []
     later = F.struct(*SUFFIX) != F.col("rank")
     while True:
-        hits.append(state.where((F.col("need") == size) & later))
-        between = state.where((F.col("need") > size) & (F.col("need") < 2 * size))
-        if size > 1 and min_lines > size:
-            hits.append(_ranked(_paired(state, between, F.col("need") - size).withColumn("depth", F.col("need")), ["depth", "before", "after"]).where(later))
+        hits.append(state.where(F.col("need").between(1, size) & later).select(*SUFFIX, F.lit(size).alias("depth")))
+        for depth in range(size + 1, min(2 * size - 1, min_lines) + 1):
+            between = _paired(state, state.where(F.col("need").between(1, depth)), F.lit(depth - size))
+            hits.append(_ranked(between, ["before", "after"]).where(later).select(*SUFFIX, F.lit(depth).alias("depth")))
         if 2 * size > min_lines:
             break
         state, size = checkpoint(_ranked(_paired(state, state, F.lit(size)), ["before", "after"])), 2 * size
     out = hits[0]
     for x in hits[1:]:
         out = out.unionByName(x)
-    return out.select(*SUFFIX, "need").distinct()
+    return out.groupBy(*SUFFIX).agg(F.max("depth").alias("depth"))
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> DataFrame:
@@ -107,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_
     lists = (
         repeated_windows(docs, min_lines, min_words, least_words)
         .groupBy("did", "key")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("need") - 1)))).alias(gone))
+        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("depth") - 1)))).alias(gone))
         .withColumnsRenamed({"did": did, "key": key})
     )
     k1, k2 = _keys()

@@ -63,3 +63,31 @@ def test_extra_columns_empty_table_and_long_text(docs):
     out = dedup_lines(df)
     assert out.columns == df.columns and out.where("doc_id = 0").first()["text"].count("\n") < 10 and out.first()["rank"] == "rank"
     assert dedup_lines(docs([])).count() == 0
+
+
+def whole_runs(rows, min_lines=3, min_words=50):
+    """Without every maximal run that an earlier line starts too, looked for line by line; lines have five words or more."""
+    at = [(i, p) for i, t in rows for p in range(t.count("\n") + 1)]
+    lines, gone = {i: t.split("\n") for i, t in rows}, set()
+    for k, (i, p) in enumerate(at):
+        longest = 0
+        for j, q in at[:k]:
+            h = 0
+            while p + h < len(lines[i]) and q + h < len(lines[j]) and lines[i][p + h] == lines[j][q + h]:
+                h += 1
+            longest = max(longest, h)
+        run = lines[i][p : p + longest]
+        if longest >= min_lines or sum(len(x.split(" ")) for x in run) >= min_words:
+            gone.update((i, p + h) for h in range(longest))
+    return {i: "\n".join(x for p, x in enumerate(x) if (i, p) not in gone) for i, x in lines.items()}
+
+
+def test_whole_maximal_runs_go(docs):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("a", 60), ("b", 10), ("c", 10)))
+    rows = [(0, f"{a}\n{b}\n{c}\nfirst end"), (1, f"one begin\n{a}\n{b}\n{c}\none end"), (2, f"two begin\n{a}\n{b}\ntwo end")]
+    assert kept(dedup_lines(docs(rows))) == {0: rows[0][1], 1: "one begin\none end", 2: "two begin\ntwo end"} == whole_runs(rows)
+    rng = random.Random(6)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([5, 6, 20, 60]))) for _ in range(12)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(40)]
+    for min_lines in (1, 3, 4, 6):
+        assert kept(dedup_lines(docs(rows), min_lines)) == {i: t for i, t in whole_runs(rows, min_lines).items() if t}
