@@ -1,8 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton over normalised tokens.
 
 The automaton accepts every run of consecutive tokens of every test item.  A document's tokens are
-streamed through it, which gives at each token the length of the longest run ending there that some
-item has too.  A maximal run is removed when
+streamed through it, which gives at each token the longest run ending there that some item has too, and
+by the suffix links the longest one of each further item.  Runs are maximal for each item by itself, so
+what other items (or shards) hold never hides one.  A maximal run is removed when
 
 * it has at least ``max_span`` tokens, or
 * it has at least ``min_span`` tokens and such runs of the document cover at least ``max_coverage``
@@ -112,6 +113,28 @@ class SuffixAutomaton:
             out.append((len(words) - matched, len(words), self.of[state]))
         return out
 
+    def item_runs(self, words: list[str], least: int) -> list[tuple[int, int, int]]:
+        """(first, last + 1, item) of each run of at least ``least`` tokens that is maximal for the item, whatever others hold."""
+        nxt, link, length, vocab = self.next, self.link, self.length, self.vocab
+        state = matched = 0
+        out: list[tuple[int, int, int]] = []
+        now: dict[int, int] = {}  # item: length of its longest run that ends here
+        for j, w in enumerate([*words, None]):
+            t = -1 if w is None else vocab.get(w, -1)
+            while state and t not in nxt[state]:
+                state = link[state]
+                matched = length[state]
+            state, matched = (nxt[state][t], matched + 1) if t in nxt[state] else (0, 0)
+            before, now = now, {}
+            s, n = state, matched
+            while s and n >= least:
+                for item in self.of[s]:
+                    now.setdefault(item, n)
+                s = link[s]
+                n = length[s]
+            out += [(j - n, j, item) for item, n in before.items() if now.get(item) != n + 1]
+        return out
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -123,18 +146,17 @@ class Limits:
 def spans_of(text: str, automaton: SuffixAutomaton, limits: Limits) -> list[dict]:
     """Character ranges to remove: one for each item of each offending run."""
     found = list(TOKEN.finditer(text))
-    runs = automaton.runs([m[0].lower() for m in found], min(limits.min_span, limits.max_span))
+    runs = automaton.item_runs([m[0].lower() for m in found], min(limits.min_span, limits.max_span))
     covered: dict[int, set[int]] = {}
-    for a, b, items in runs:
+    for a, b, item in runs:
         if b - a >= limits.min_span:
-            for item in items:
-                covered.setdefault(item, set()).update(range(a, b))
+            covered.setdefault(item, set()).update(range(a, b))
     heavy = {i for i, at in covered.items() if len(at) >= limits.max_coverage * automaton.item_tokens[i]}
-    out = []
-    for a, b, items in runs:
-        blamed = sorted(items if b - a >= limits.max_span else items & heavy if b - a >= limits.min_span else ())
-        out += [{"start": found[a].start(), "end": found[b - 1].end(), "tokens": b - a, "item_id": i} for i in blamed]
-    return out
+    return [
+        {"start": found[a].start(), "end": found[b - 1].end(), "tokens": b - a, "item_id": i}
+        for a, b, i in sorted(runs)
+        if b - a >= limits.max_span or b - a >= limits.min_span and i in heavy
+    ]
 
 
 def without(text: str, spans: list[dict]) -> tuple[str, int]:

@@ -82,3 +82,18 @@ def test_empty_tables_clashing_columns_and_long_text(spark, docs):
 def test_without_merges_overlaps():
     assert without("a bb cc dd e", [{"start": 2, "end": 7}, {"start": 5, "end": 10}]) == ("a e", 9)
     assert tokens_of("It's 3-fold") == ["it", "s", "3", "fold"]
+
+
+def test_each_item_counts_as_if_alone(spark, docs):
+    rng = random.Random(8)
+    for _ in range(60):
+        items = [(i, [rng.choice("abc") for _ in range(rng.randint(1, 12))]) for i in range(4)]
+        words = [rng.choice("abcd") for _ in range(60)]
+        want = sorted((a, b, i) for i, w in items for a, b, _ in brute_runs([(i, w)], words, 3))
+        assert sorted(SuffixAutomaton(items).item_runs(words, 3)) == want
+    shared = " ".join(f"t{k}" for k in range(1, 11))
+    long = " ".join(f"u{k}" for k in range(49))
+    items = [(1, f"x {shared} {long}"), (2, f"{shared} z1 z2")]
+    for shard in (1_000_000, 10):
+        out = decontaminate(docs([f"so x {shared} q"]), bench(spark, items), max_shard_chars=shard).first()
+        assert out["text"] == "so x q" and [s["item_id"] for s in out["removed_spans"]] == [2]
