@@ -34,12 +34,23 @@ def lines(pages: DataFrame) -> DataFrame:
     return exploded.select("book_id", "page_seq", "page_id", "line_no", F.col("x.local").alias("local"), F.col("x.line").alias("line"))
 
 
+#: Lines whose offsets are summed in one fold.
+BLOCK = 128
+
+
 def _with_offsets(parts: str):
-    """Lines with offsets in one pass: sizes are folded to running sums beside the array, not by nested slices."""
-    zero = F.array(F.lit(0))
-    # running sums by fold; appending to the accumulator is what makes it linear per page of ordinary size
-    sums = F.aggregate(F.col(parts), zero, lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p) + 1)))
-    return F.transform(F.arrays_zip(F.col(parts).alias("line"), F.slice(sums, 1, F.size(parts)).alias("local")), lambda z: F.struct(z["line"].alias("line"), z["local"].alias("local")))
+    """Lines with offsets: running sums in blocks of ``BLOCK`` lines, then the blocks' own.
+
+    A fold copies its growing array at each step, so one over all lines would be quadratic; in blocks it
+    costs ``BLOCK`` a line, and the fold over blocks a step for each block.
+    """
+    ends = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    sizes = F.transform(parts, lambda p: F.length(p) + 1)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
+    within = F.transform(blocks, lambda lines: ends(F.transform(lines, lambda p: F.length(p) + 1)))
+    long = F.flatten(F.zip_with(within, ends(F.transform(within, lambda w: F.element_at(w, -1))), lambda w, base: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x: x + base)))
+    local = F.when(F.size(parts) <= BLOCK, F.slice(ends(sizes), F.lit(1), F.size(parts))).otherwise(long)
+    return F.transform(F.arrays_zip(F.col(parts).alias("line"), local.alias("local")), lambda z: F.struct(z["line"].alias("line"), z["local"].alias("local")))
 
 
 def locate(points: DataFrame, pages: DataFrame, at: str = "idx") -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -190,6 +192,93 @@ def token_streams(pages: DataFrame, strip_marks: bool = True) -> DataFrame:
     return pages.select("book_id", "page_seq", "page_id", "content").mapInArrow(run, "book_id string, page_seq long, page_id long, content string, items array<struct<type:string,text:string,start:int,end:int>>")
 
 
+GRAM = "pattern string, n int, count long, token_count int, literal_length int, book_id string, page_seq long, i int, page_id long, text string, context string, start int"
+GRAM_ARROW = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+#: Pages are counted together up to so many items; a longer page is counted on its own.
+SLICE_ITEMS = 1 << 18
+
+
+class _Slice:
+    """Item streams of some pages in reading order, as codes; n-grams are counted on arrays, in time linear in the items."""
+
+    def __init__(self, pages: list[tuple], strip_marks: bool):
+        self.pages = sorted(pages, key=lambda p: p[:2])
+        codes: dict[tuple[str, bool], int] = {}
+        flat, starts, ends, sizes = [], [], [], []
+        for *_, items in self.pages:
+            sizes.append(len(items))
+            for i in items:
+                flat.append(codes.setdefault((i["text"], i["type"] == "token"), len(codes)))
+                starts.append(i["start"])
+                ends.append(i["end"])
+        self.texts = [t for t, _ in codes]
+        token = np.array([k for _, k in codes], bool)
+        self.codes, self.starts, self.ends = np.array(flat, np.int64), starts, ends
+        self.page = np.repeat(np.arange(len(sizes)), sizes)
+        self.first = np.cumsum([0, *sizes])
+        tokens = token[self.codes] if len(flat) else np.zeros(0, bool)
+        solid = np.where(token, 0, [len(t) for t in self.texts])[self.codes] if len(flat) else np.zeros(0, np.int64)
+        self.tokens, self.solid = np.concatenate([[0], np.cumsum(tokens)]), np.concatenate([[0], np.cumsum(solid)])
+
+    def grams(self, low: int, high: int, glue: str, require_token: bool, examples: int, context_chars: int) -> Iterator[tuple]:
+        """A row for each pattern's first ``examples`` places; the first of them has its count, the others 0."""
+        ids = self.codes
+        for n in range(1, high + 1):
+            m = len(self.codes) - n + 1
+            if m < 1:
+                return
+            if n > 1:
+                _, ids = np.unique(ids[:m] * len(self.texts) + self.codes[n - 1 :], return_inverse=True)
+            if n < low:
+                continue
+            whole = self.page[:m] == self.page[n - 1 :]
+            if require_token:
+                whole &= self.tokens[n:] > self.tokens[:m]
+            at = np.flatnonzero(whole)
+            order = at[np.argsort(ids[at], kind="stable")]
+            edges = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            counts = np.diff(np.append(edges, len(order)))
+            for e, c in zip(edges.tolist(), counts.tolist(), strict=True):
+                for k in range(min(c, examples)):
+                    yield self._row(int(order[e + k]), n, c if k == 0 else 0, glue, context_chars)
+
+    def _row(self, at: int, n: int, count: int, glue: str, context_chars: int) -> tuple:
+        page = int(self.page[at])
+        book, seq, page_id, content, _ = self.pages[page]
+        start, end = self.starts[at], self.ends[at + n - 1]
+        a, b = max(0, start - context_chars), min(len(content), end + context_chars)
+        context = ("..." if a else "") + content[a:b] + ("..." if b < len(content) else "")
+        pattern = glue.join(self.texts[c] for c in self.codes[at : at + n].tolist())
+        return pattern, n, count, int(self.tokens[at + n] - self.tokens[at]), int(self.solid[at + n] - self.solid[at]), book, seq, at - int(self.first[page]), page_id, content[start:end], context, start
+
+
+def _grams(pages: DataFrame, low: int, high: int, glue: str, require_token: bool, examples: int, context_chars: int, strip_marks: bool) -> DataFrame:
+    """n-grams counted slice by slice in the workers, so what is shuffled is a row for each pattern of a slice and not for each place."""
+
+    def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        found = _Slice(held, strip_marks).grams(low, high, glue, require_token, examples, context_chars)
+        while part := list(islice(found, 1 << 16)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), GRAM_ARROW, strict=True)], [f.split()[0] for f in GRAM.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            books, seqs, ids = (batch.column(k).to_pylist() for k in range(3))
+            for book, seq, page_id, content in zip(books, seqs, ids, batch.column(3), strict=True):
+                text = content.as_py() or ""
+                items = stream(text, strip_marks)
+                if len(items) >= low:
+                    held.append((book, seq, page_id, text, items))
+                    size += len(items)
+                if size >= SLICE_ITEMS:
+                    yield from rows(held)
+                    held, size = [], 0
+        yield from rows(held)
+
+    return pages.select("book_id", "page_seq", "page_id", "content").mapInArrow(run, GRAM)
+
+
 def repeating_sequences(
     pages: DataFrame, min_elements: int = 1, max_elements: int = 3, min_count: int = 3, top_k: int = 20, require_token: bool = True, whitespace: str = "regex",
     max_examples: int = 3, context_chars: int = 50, max_unique_patterns: int | None = 1000, strip_marks: bool = True,
@@ -198,28 +287,22 @@ def repeating_sequences(
 
     ``max_unique_patterns`` keeps the patterns seen first, as many as that; None keeps all.  The cap is a
     feature of the report, applied to exact counts and exact first places.
+
+    One example is the running minimum of the places, taken in the same aggregate as the counts; more take
+    a second pass, which keeps each slice's first few places of the ``top_k`` patterns.
     """
     glue = " " if whitespace == "space" else r"\s*"
     low, high = max(1, min_elements), max(max(1, min_elements), max_elements)
-    streams = token_streams(pages, strip_marks).where(F.size("items") >= low)
-    sizes = F.array(*[F.lit(n) for n in range(low, high + 1)])
-    spots = streams.select("book_id", "page_seq", "page_id", "items", F.explode(F.sequence(F.lit(0), F.size("items") - low)).alias("i")).select("*", F.explode(sizes).alias("n")).where(F.col("i") + F.col("n") <= F.size("items"))
-    grams = spots.withColumn("g", F.slice("items", F.col("i") + 1, F.col("n"))).drop("items")
-    if require_token:
-        grams = grams.where(F.exists("g", lambda x: x["type"] == "token"))
-    grams = grams.select(
-        "book_id", "page_seq", "page_id", "i", "n", F.array_join(F.transform("g", lambda x: x["text"]), glue).alias("pattern"), F.size(F.filter("g", lambda x: x["type"] == "token")).alias("token_count"),
-        F.aggregate("g", F.lit(0), lambda acc, x: acc + F.when(x["type"] == "token", 0).otherwise(F.length(x["text"]))).alias("literal_length"), F.get("g", 0)["start"].alias("start"), F.element_at("g", -1)["end"].alias("end"),
-    )
-    stats = grams.groupBy("pattern").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("book_id", "page_seq", "i", "n")).alias("seen"), F.first("token_count").alias("token_count"), F.first("literal_length").alias("literal_length"))
+    grams = lambda examples: _grams(pages, low, high, glue, require_token, examples, context_chars, strip_marks)
+    place = F.struct("book_id", "page_seq", "i", "n", "page_id", "text", "context", "start")
+    stats = grams(1).groupBy("pattern").agg(F.sum("count").alias("count"), F.min(place).alias("seen"), F.min("token_count").alias("token_count"), F.min("literal_length").alias("literal_length"))
     if max_unique_patterns is not None:
         stats = stats.orderBy("seen").limit(max_unique_patterns)
     top = stats.where(F.col("count") >= min_count).orderBy(F.desc("count"), F.desc("token_count"), F.desc("literal_length"), F.asc("seen")).limit(top_k)
+    shown = lambda e: F.struct(F.col(f"{e}page_id").alias("page_id"), F.col(f"{e}text").alias("text"), F.col(f"{e}context").alias("context"), F.col(f"{e}start").alias("start"))
+    if max_examples <= 1:
+        return top.select("pattern", "count", "token_count", "literal_length", (F.array(shown("seen.")) if max_examples else F.array().cast("array<struct<page_id:long,text:string,context:string,start:int>>")).alias("examples"))
     nth = F.row_number().over(W.partitionBy("pattern").orderBy("book_id", "page_seq", "i", "n"))
-    chosen = grams.join(F.broadcast(top.select("pattern")), "pattern").withColumn("nth", nth).where(F.col("nth") <= max_examples)  # top_k rows
-    placed = chosen.join(pages.select("book_id", "page_seq", "content"), ["book_id", "page_seq"])
-    a, b = F.greatest(F.col("start") - context_chars, F.lit(0)), F.least(F.col("end") + context_chars, F.length("content"))
-    context = F.concat(F.when(a > 0, "...").otherwise(""), F.substring(F.col("content"), a + 1, b - a), F.when(b < F.length("content"), "...").otherwise(""))
-    shown = placed.withColumn("e", F.struct("nth", "page_id", F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), context.alias("context"), "start"))
-    examples = shown.groupBy("pattern").agg(F.array_sort(F.collect_list("e")).alias("examples"))
+    chosen = grams(max_examples).join(F.broadcast(top.select("pattern")), "pattern").withColumn("nth", nth).where(F.col("nth") <= max_examples)  # top_k rows
+    examples = chosen.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("nth", shown("").alias("e")))).alias("es")).select("pattern", F.transform("es", lambda e: e["e"]).alias("examples"))
     return top.join(examples, "pattern").select("pattern", "count", "token_count", "literal_length", "examples")

@@ -131,7 +131,7 @@ def suggest_options(
         found = detect.page_detections(pages).first().asDict()
         cleaners = [{"transform": name, "count": found[key], "reason": why} for key, name, why in CLEANERS if found[key]]
         starts = mine.common_line_starts(pages, min_line_start_count or least, top_line_starts, sort_by="count").collect()  # at most top_line_starts rows
-        sequences = mine.repeating_sequences(pages, 1, 3, min_repeating_count or least, top_repeating_sequences).collect()
+        sequences = mine.repeating_sequences(pages, 1, 3, min_repeating_count or least, top_repeating_sequences, max_examples=1).collect()
         starts.sort(key=lambda r: -r["count"])
         sequences.sort(key=lambda r: -r["count"])
         mode = assess(starts[0]["count"] if starts else 0, sequences[0]["count"] if sequences else 0, size["lines"], size["pages"])
