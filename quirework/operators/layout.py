@@ -48,7 +48,8 @@ def _with_offsets(parts: str):
     sizes = F.transform(parts, lambda p: F.length(p) + 1)
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
     within = F.transform(blocks, lambda lines: ends(F.transform(lines, lambda p: F.length(p) + 1)))
-    long = F.flatten(F.zip_with(within, ends(F.transform(within, lambda w: F.element_at(w, -1))), lambda w, base: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x: x + base)))
+    bases = F.slice(ends(F.transform(within, lambda w: F.element_at(w, -1))), F.lit(1), F.size(blocks))
+    long = F.flatten(F.zip_with(within, bases, lambda w, base: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x: x + base)))
     local = F.when(F.size(parts) <= BLOCK, F.slice(ends(sizes), F.lit(1), F.size(parts))).otherwise(long)
     return F.transform(F.arrays_zip(F.col(parts).alias("line"), local.alias("local")), lambda z: F.struct(z["line"].alias("line"), z["local"].alias("local")))
 

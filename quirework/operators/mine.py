@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -192,35 +194,50 @@ def token_streams(pages: DataFrame, strip_marks: bool = True) -> DataFrame:
     return pages.select("book_id", "page_seq", "page_id", "content").mapInArrow(run, "book_id string, page_seq long, page_id long, content string, items array<struct<type:string,text:string,start:int,end:int>>")
 
 
-GRAM = "pattern string, n int, count long, token_count int, literal_length int, book_id string, page_seq long, i int, page_id long, text string, context string, start int"
-GRAM_ARROW = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+GRAM = "pattern string, n int, count long, token_count int, literal_length int, book_id string, page_seq long, page_id long, i int"
 #: Pages are counted together up to so many items; a longer page is counted on its own.
 SLICE_ITEMS = 1 << 18
+NOT_LATIN = regex.compile(r"[\u0600-\u06FF\uFDFD]")
+#: The items of a text without Arabic letters or signs, where only single characters are tokens.
+ITEM = re.compile(rf"[•*°{re.escape(DELIMITERS)}]|[^{SPACE}{re.escape(DELIMITERS)}]+")
+SINGLE = dict.fromkeys("-–—", "dash") | dict.fromkeys("•*°", "bullet") | dict.fromkeys(".!?", "tarqim")
+
+
+class _Codes(dict):
+    """A number for each item as it is shown, found by what the text has."""
+
+    def __init__(self) -> None:
+        self.shown: dict[tuple[str, bool], int] = {}
+
+    def of(self, text: str, token: bool) -> int:
+        return self.shown.setdefault((text, token), len(self.shown))
+
+    def __missing__(self, raw: str) -> int:
+        name = SINGLE.get(raw)
+        self[raw] = self.of(f"{{{{{name}}}}}", True) if name else self.of(literal(raw), False)
+        return self[raw]
+
+    def items(self, text: str, strip_marks: bool) -> list[int]:
+        if not NOT_LATIN.search(text):
+            return [self[raw] for raw in ITEM.findall(text)]
+        return [self.of(x["text"], x["type"] == "token") for x in stream(text, strip_marks)]
 
 
 class _Slice:
     """Item streams of some pages in reading order, as codes; n-grams are counted on arrays, in time linear in the items."""
 
-    def __init__(self, pages: list[tuple], strip_marks: bool):
-        self.pages = sorted(pages, key=lambda p: p[:2])
-        codes: dict[tuple[str, bool], int] = {}
-        flat, starts, ends, sizes = [], [], [], []
-        for *_, items in self.pages:
-            sizes.append(len(items))
-            for i in items:
-                flat.append(codes.setdefault((i["text"], i["type"] == "token"), len(codes)))
-                starts.append(i["start"])
-                ends.append(i["end"])
-        self.texts = [t for t, _ in codes]
-        token = np.array([k for _, k in codes], bool)
-        self.codes, self.starts, self.ends = np.array(flat, np.int64), starts, ends
-        self.page = np.repeat(np.arange(len(sizes)), sizes)
-        self.first = np.cumsum([0, *sizes])
-        tokens = token[self.codes] if len(flat) else np.zeros(0, bool)
-        solid = np.where(token, 0, [len(t) for t in self.texts])[self.codes] if len(flat) else np.zeros(0, np.int64)
-        self.tokens, self.solid = np.concatenate([[0], np.cumsum(tokens)]), np.concatenate([[0], np.cumsum(solid)])
-
-    def grams(self, low: int, high: int, glue: str, require_token: bool, examples: int, context_chars: int) -> Iterator[tuple]:
+    def __init__(self, pages: list[tuple], codes: _Codes):
+        pages = sorted(pages, key=lambda p: p[:2])
+        self.keys = [pa.array([p[k] for p in pages], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        sizes = np.array([len(p[3]) for p in pages], np.int64)
+        self.codes = np.fromiter(chain.from_iterable(p[3] for p in pages), np.int64, int(sizes.sum()))
+        self.page, self.first = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        self.texts = pa.array([t for t, _ in codes.shown], pa.string())
+        token = np.array([k for _, k in codes.shown], bool)
+        solid = np.where(token, 0, [len(t) for t, _ in codes.shown])
+        self.tokens, self.solid = (np.concatenate([[0], np.cumsum(x[self.codes])]) for x in (token, solid))
+
+    def grams(self, low: int, high: int, glue: str, require_token: bool, examples: int) -> Iterator[pa.RecordBatch]:
         """A row for each pattern's first ``examples`` places; the first of them has its count, the others 0."""
         ids = self.codes
         for n in range(1, high + 1):
@@ -238,47 +255,60 @@ class _Slice:
             order = at[np.argsort(ids[at], kind="stable")]
             edges = np.flatnonzero(np.diff(ids[order], prepend=-1))
             counts = np.diff(np.append(edges, len(order)))
-            for e, c in zip(edges.tolist(), counts.tolist(), strict=True):
-                for k in range(min(c, examples)):
-                    yield self._row(int(order[e + k]), n, c if k == 0 else 0, glue, context_chars)
+            for k in range(examples):
+                more = counts > k
+                if more.any():
+                    yield self._rows(order[edges[more] + k], n, counts[more] if k == 0 else np.zeros(more.sum(), np.int64), glue)
 
-    def _row(self, at: int, n: int, count: int, glue: str, context_chars: int) -> tuple:
-        page = int(self.page[at])
-        book, seq, page_id, content, _ = self.pages[page]
-        start, end = self.starts[at], self.ends[at + n - 1]
-        a, b = max(0, start - context_chars), min(len(content), end + context_chars)
-        context = ("..." if a else "") + content[a:b] + ("..." if b < len(content) else "")
-        pattern = glue.join(self.texts[c] for c in self.codes[at : at + n].tolist())
-        return pattern, n, count, int(self.tokens[at + n] - self.tokens[at]), int(self.solid[at + n] - self.solid[at]), book, seq, at - int(self.first[page]), page_id, content[start:end], context, start
+    def _rows(self, at: np.ndarray, n: int, counts: np.ndarray, glue: str) -> pa.RecordBatch:
+        pattern = pc.binary_join_element_wise(*[self.texts.take(pa.array(self.codes[at + k])) for k in range(n)], glue) if n > 1 else self.texts.take(pa.array(self.codes[at]))
+        page = self.page[at]
+        ints = [pa.array(x.astype(np.int32)) for x in (self.tokens[at + n] - self.tokens[at], self.solid[at + n] - self.solid[at])]
+        keys = [k.take(pa.array(page)) for k in self.keys]
+        columns = [pattern, pa.array(np.full(len(at), n, np.int32)), pa.array(counts), *ints, *keys, pa.array((at - self.first[page]).astype(np.int32))]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in GRAM.split(", ")])
 
 
-def _grams(pages: DataFrame, low: int, high: int, glue: str, require_token: bool, examples: int, context_chars: int, strip_marks: bool) -> DataFrame:
+def _grams(pages: DataFrame, low: int, high: int, glue: str, require_token: bool, examples: int, strip_marks: bool) -> DataFrame:
     """n-grams counted slice by slice in the workers, so what is shuffled is a row for each pattern of a slice and not for each place."""
 
-    def rows(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = _Slice(held, strip_marks).grams(low, high, glue, require_token, examples, context_chars)
-        while part := list(islice(found, 1 << 16)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), GRAM_ARROW, strict=True)], [f.split()[0] for f in GRAM.split(", ")])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        codes, size = _Codes(), 0
         for batch in batches:
             books, seqs, ids = (batch.column(k).to_pylist() for k in range(3))
             for book, seq, page_id, content in zip(books, seqs, ids, batch.column(3), strict=True):
-                text = content.as_py() or ""
-                items = stream(text, strip_marks)
+                items = codes.items(content.as_py() or "", strip_marks)
                 if len(items) >= low:
-                    held.append((book, seq, page_id, text, items))
+                    held.append((book, seq, page_id, items))
                     size += len(items)
                 if size >= SLICE_ITEMS:
-                    yield from rows(held)
-                    held, size = [], 0
-        yield from rows(held)
+                    yield from _Slice(held, codes).grams(low, high, glue, require_token, examples)
+                    held, codes, size = [], _Codes(), 0
+        yield from _Slice(held, codes).grams(low, high, glue, require_token, examples)
 
     return pages.select("book_id", "page_seq", "page_id", "content").mapInArrow(run, GRAM)
 
 
+def _shown(places: DataFrame, pages: DataFrame, context_chars: int, strip_marks: bool) -> DataFrame:
+    """``places`` (pattern, nth, book_id, page_seq, page_id, i, n; a few) with text, context and start from their pages."""
+    found = pages.select("book_id", "page_seq", "content").join(F.broadcast(places), ["book_id", "page_seq"])  # top_k * max_examples rows
+    names = ["pattern", "nth", "page_id", "text", "context", "start"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pattern, nth, page_id, i, n, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                items = stream(text, strip_marks)
+                start, end = items[i]["start"], items[i + n - 1]["end"]
+                a, b = max(0, start - context_chars), min(len(text), end + context_chars)
+                out.append((pattern, nth, page_id, text[start:end], ("..." if a else "") + text[a:b] + ("..." if b < len(text) else ""), start))
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names)
+
+    return found.select("pattern", "nth", "page_id", "i", "n", "content").mapInArrow(run, "pattern string, nth int, page_id long, text string, context string, start int")
+
+
 def repeating_sequences(
     pages: DataFrame, min_elements: int = 1, max_elements: int = 3, min_count: int = 3, top_k: int = 20, require_token: bool = True, whitespace: str = "regex",
     max_examples: int = 3, context_chars: int = 50, max_unique_patterns: int | None = 1000, strip_marks: bool = True,
@@ -289,20 +319,24 @@ def repeating_sequences(
     feature of the report, applied to exact counts and exact first places.
 
     One example is the running minimum of the places, taken in the same aggregate as the counts; more take
-    a second pass, which keeps each slice's first few places of the ``top_k`` patterns.
+    a second pass, which keeps each slice's first few places of the ``top_k`` patterns.  Examples' texts are
+    read from their pages at the end.
     """
     glue = " " if whitespace == "space" else r"\s*"
     low, high = max(1, min_elements), max(max(1, min_elements), max_elements)
-    grams = lambda examples: _grams(pages, low, high, glue, require_token, examples, context_chars, strip_marks)
-    place = F.struct("book_id", "page_seq", "i", "n", "page_id", "text", "context", "start")
-    stats = grams(1).groupBy("pattern").agg(F.sum("count").alias("count"), F.min(place).alias("seen"), F.min("token_count").alias("token_count"), F.min("literal_length").alias("literal_length"))
+    grams = lambda examples: _grams(pages, low, high, glue, require_token, examples, strip_marks)
+    place = ["book_id", "page_seq", "i", "n", "page_id"]
+    stats = grams(1).groupBy("pattern").agg(F.sum("count").alias("count"), F.min(F.struct(*place)).alias("seen"), F.min("token_count").alias("token_count"), F.min("literal_length").alias("literal_length"))
     if max_unique_patterns is not None:
         stats = stats.orderBy("seen").limit(max_unique_patterns)
     top = stats.where(F.col("count") >= min_count).orderBy(F.desc("count"), F.desc("token_count"), F.desc("literal_length"), F.asc("seen")).limit(top_k)
-    shown = lambda e: F.struct(F.col(f"{e}page_id").alias("page_id"), F.col(f"{e}text").alias("text"), F.col(f"{e}context").alias("context"), F.col(f"{e}start").alias("start"))
-    if max_examples <= 1:
-        return top.select("pattern", "count", "token_count", "literal_length", (F.array(shown("seen.")) if max_examples else F.array().cast("array<struct<page_id:long,text:string,context:string,start:int>>")).alias("examples"))
-    nth = F.row_number().over(W.partitionBy("pattern").orderBy("book_id", "page_seq", "i", "n"))
-    chosen = grams(max_examples).join(F.broadcast(top.select("pattern")), "pattern").withColumn("nth", nth).where(F.col("nth") <= max_examples)  # top_k rows
-    examples = chosen.groupBy("pattern").agg(F.array_sort(F.collect_list(F.struct("nth", shown("").alias("e")))).alias("es")).select("pattern", F.transform("es", lambda e: e["e"]).alias("examples"))
+    if max_examples < 1:
+        return top.select("pattern", "count", "token_count", "literal_length", F.array().cast("array<struct<page_id:long,text:string,context:string,start:int>>").alias("examples"))
+    if max_examples == 1:
+        places = top.select("pattern", F.lit(1).alias("nth"), "seen.*")
+    else:
+        nth = F.row_number().over(W.partitionBy("pattern").orderBy("book_id", "page_seq", "i", "n"))
+        places = grams(max_examples).join(F.broadcast(top.select("pattern")), "pattern").withColumn("nth", nth).where(F.col("nth") <= max_examples).select("pattern", "nth", *place)  # top_k rows
+    e = F.struct("nth", F.struct("page_id", "text", "context", "start").alias("e"))
+    examples = _shown(places, pages, context_chars, strip_marks).groupBy("pattern").agg(F.array_sort(F.collect_list(e)).alias("es")).select("pattern", F.transform("es", lambda x: x["e"]).alias("examples"))
     return top.join(examples, "pattern").select("pattern", "count", "token_count", "literal_length", "examples")

@@ -57,17 +57,31 @@ class Guards:
         import regex
 
         self.word = compile_python(WORD).regex
-        self.tail = regex.compile(rf"[{SPACE}]*(\S)[{SPACE}]*\Z")
-        self.loose = regex.compile(r"[\s0-9٠-٩\"'«»“”‘’()\[\]{}]+\Z")
+        self.loose = frozenset("0123456789٠١٢٣٤٥٦٧٨٩\"'«»“”‘’()[]{}<>")
+        self.space = regex.compile(f"[{SPACE}]")
         self.before = [compile_python(f"(?:{expand(escape_brackets(r.page_start_guard)).pattern})$").regex if r.page_start_guard else None for r in rules]
         self.page_stop = [{normalize_one(w) for w in r.page_start_stoplist} for r in rules]
         self.same_stop = [{normalize_one(w) for w in r.same_page_stoplist} for r in rules]
 
+    def wrapped(self, text: str, more: str = "") -> int:
+        """Where ``text`` ends without the spaces, digits, quotes, brackets and ``more`` that may close a page."""
+        end = len(text)
+        while end and (text[end - 1] in self.loose or text[end - 1] in more or self.space.match(text[end - 1])):
+            end -= 1
+        return end
+
     def last_word(self, text: str) -> str | None:
-        last = None
-        for last in self.word.finditer(text[-256:]):
-            pass
-        return normalize_one(last[0]) if last else None
+        """The last word, however far back: windows that grow to the left until one holds a whole word."""
+        end, width = self.wrapped(text, ".,!?؟؛،:"), 256
+        while True:
+            start, last = max(0, end - width), None
+            for last in self.word.finditer(text, start, end):
+                pass
+            if last is not None and (last.start() > start or not start):
+                return normalize_one(last[0])
+            if not start:
+                return None
+            width *= 4
 
     def passes(self, k: int, book: Book, page: int, start: int) -> bool:
         local = start - book.starts[page]
@@ -76,8 +90,8 @@ class Guards:
             if self.before[k] is not None and not (before and self.before[k].search(before[-1])):
                 return False
             if self.page_stop[k]:
-                closed = self.loose.sub("", before)
-                if not (closed and closed[-1] in SENTENCE_END) and self.last_word(before) in self.page_stop[k]:
+                end = self.wrapped(before)
+                if not (end and before[end - 1] in SENTENCE_END) and self.last_word(before) in self.page_stop[k]:
                     return False
             return True
         return not (self.same_stop[k] and self.last_word(book.texts[page][:local]) in self.same_stop[k])

@@ -7,6 +7,7 @@ fragments of pages, so a book's text meets in one place only as its segments.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,13 +26,26 @@ POINT = "book_id string, page_seq long, local int, ord int, offset int, captured
 META = "map<string,string>"
 
 
+#: What a pattern may hold so that no match can touch a line end: any other escape, class or flag might.
+ONE_LINE = re.compile(r"""
+    \\[dwbB] | \\[^A-Za-z0-9\s] | \\p\{(?:L|M|N|P|(?:Script|sc)=\w+)\}
+    | \\u(?!2028|2029|0085)(?:00[2-9A-Fa-f]|0[1-9A-Fa-f]|[1-9A-Fa-f][0-9A-Fa-f])[0-9A-Fa-f]{1,2}
+    | \((?!\?) | \(\?(?: : | = | ! | <= | <! | <\w+> )
+    | \[(?!\^) | [^\\(\[\x00-\x1f\x85\u2028\u2029]
+""", re.VERBOSE)
+
+
 def line_native(rule: Rule) -> bool:
-    """Can each line tell on its own whether the rule matches there?"""
-    if not rule.line_anchored or rule.page_start_guard or rule.page_start_stoplist or rule.same_page_stoplist:
+    """Can each line tell on its own whether the rule matches there?  What isn't known to stay in a line is scanned."""
+    if not rule.line_anchored or rule.page_start_guard or rule.page_start_stoplist or rule.same_page_stoplist or "" in rule.patterns:
         return False
-    source = rule.source()
-    spans_lines = any(x in source.replace("\\uFEFF", "") for x in (r"\s", r"\n", "[^", r"\W", r"\D"))
-    return not spans_lines and "" not in rule.patterns
+    source, at = rule.source(), 0
+    while at < len(source):
+        found = ONE_LINE.match(source, at)
+        if not found:
+            return False
+        at = found.end()
+    return True
 
 
 def _map(pairs: list[tuple[Column, Column]]) -> Column:
@@ -196,10 +210,37 @@ def assembled(segs: DataFrame, options: Options) -> DataFrame:
     return out.where(~X.is_blank("content")).select("book_id", "seg_no", "content", "from_id", F.nullif("last_id", "from_id").alias("to_id"), "meta", "ord", "word", F.when(F.col("captured").isNull(), F.col("shown")).otherwise(F.array(F.struct(F.get("shown", 0)["page_seq"].alias("page_seq"), F.col("from_id").alias("page_id"), F.col("captured").alias("text")))).alias("frags"))
 
 
+def _page_only(options: Options) -> bool:
+    """Are segments cut at page boundaries and nowhere else?"""
+    first = options.breakpoints[0] if options.breakpoints else None
+    plain = first is not None and first.source() is None and first.min is None and first.max is None and not first.skip_when
+    return plain and options.max_pages is not None and options.max_content_length is None and not any(b.exclude for b in options.breakpoints)
+
+
+def page_pieces(segs: DataFrame, options: Options) -> DataFrame:
+    """Oversized segments by page: single pages as long as what is left spans more than ``maxPages``, then the rest.
+
+    The first page from which the rest fits decides, so no page is looked at twice and nothing leaves the JVM.
+    """
+    last = F.element_at("frags", -1)["page_id"]
+    fit = F.get(F.filter(F.transform("frags", lambda f, i: F.when(last - f["page_id"] <= options.max_pages, i)), lambda i: i.isNotNull()), 0)
+    piece = lambda text, first, end: F.struct(X.trim_all(text).alias("content"), first.alias("from_id"), end.alias("last_id"))
+    heads = F.transform(F.slice("frags", F.lit(1), F.col("fit")), lambda f: piece(f["text"], f["page_id"], f["page_id"]))
+    rest = F.slice("frags", F.col("fit") + 1, F.size("frags"))
+    solid = F.filter(rest, lambda f: ~X.is_blank(f["text"]))
+    tail = piece(F.array_join(F.transform(rest, lambda f: f["text"]), options.glue), F.get(solid, 0)["page_id"], F.element_at(solid, -1)["page_id"])
+    pieces = F.filter(F.concat(heads, F.array(tail)), lambda p: p["content"] != "")
+    cutted = segs.withColumn("fit", fit).select("book_id", "seg_no", "meta", "ord", "word", F.posexplode(pieces).alias("piece", "p"))
+    return cutted.select(
+        "book_id", "seg_no", "p.content", "p.from_id", F.nullif("p.last_id", "p.from_id").alias("to_id"), "meta", "ord", "word", "piece", F.lit(0).alias("bp"), F.lit(None).cast("int").alias("bp_word"), F.lit(None).cast("string").alias("reason"),
+    )
+
+
 def rebroken(segs: DataFrame, options: Options) -> DataFrame:
     """Segments over the page or length limit cut at breakpoints: seg_no, piece and the rest as before.
 
-    Segments that fit pass in the JVM; only the others go to workers, each on its own.
+    Segments that fit pass in the JVM, and so do all where pages are the only breakpoints; the others go to
+    workers, each on its own.
     """
     if not options.limited:
         return segs.withColumn("piece", F.lit(0)).withColumns({"bp": F.lit(None).cast("int"), "bp_word": F.lit(None).cast("int"), "reason": F.lit(None).cast("string")})
@@ -230,8 +271,11 @@ def rebroken(segs: DataFrame, options: Options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], columns)
 
     large = segs.where(~fits)
-    cutted = large.select("book_id", "seg_no", "frags").mapInArrow(run, "book_id string, seg_no long, piece int, content string, from_id long, to_id long, bp int, bp_word int, reason string")
-    back = cutted.join(large.select("book_id", "seg_no", "meta", "ord", "word"), ["book_id", "seg_no"])
+    if _page_only(options):
+        back = page_pieces(large, options)
+    else:
+        cutted = large.select("book_id", "seg_no", "frags").mapInArrow(run, "book_id string, seg_no long, piece int, content string, from_id long, to_id long, bp int, bp_word int, reason string")
+        back = cutted.join(large.select("book_id", "seg_no", "meta", "ord", "word"), ["book_id", "seg_no"])
     meta = F.when(F.col("piece") == 0, F.col("meta")).otherwise(F.create_map().cast(META))
     back = back.withColumn("meta", meta).withColumn("frags", F.lit(None).cast(segs.schema["frags"].dataType))
     return whole.unionByName(back)

@@ -33,7 +33,7 @@ PROFILE = profiles.PROFILES["plain"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return books.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +121,7 @@ def _line_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mine.repeating_sequences(whole_documents(spark, sf_dir), 2, 2, require_token=False, max_unique_patterns=None, max_examples=1)
+    found = mine.repeating_sequences(whole_documents(spark, sf_dir), 2, 2, require_token=False, max_unique_patterns=None, max_examples=0)
     return found.select("pattern", "count", F.col("token_count").cast("long").alias("token_count"), F.col("literal_length").cast("long").alias("literal_length"))
 
 

@@ -11,6 +11,16 @@ PAGES = T.StructType([T.StructField("book_id", T.StringType()), T.StructField("p
 PAGE_JSON = T.StructType([T.StructField("id", T.LongType()), T.StructField("content", T.StringType())])
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """``table``, dealt out to all cores if its files have fewer splits than the session has cores.
+
+    A small file of one row group is one task otherwise.  Larger inputs have more splits than cores and
+    aren't shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def from_columns(df: DataFrame, book, order, page_id, content) -> DataFrame:
     """Pages of any table: ``book`` groups, ``order`` sorts within a book."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c

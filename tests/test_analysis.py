@@ -59,7 +59,7 @@ def test_cleaning(spark):
 
 def test_detection():
     found = detect.detect("٣٤ - حدثنا")
-    assert [(d["token"], d["index"]) for d in found] == [("numbered", 0), ("naql", 5)] or [d["token"] for d in found] == ["naql", "raqms", "dash"] or "naql" in [d["token"] for d in found]
+    assert [(d["token"], d["index"]) for d in found] == [("numbered", 0), ("naql", 5)]
     assert detect.detect(None) == [] and detect.analyze_text_for_rule("abc") is None
     rule = detect.analyze_text_for_rule("باب الصلاة")
     assert rule["template"].startswith("{{bab}}") and rule["patternType"] == "lineStartsWith" and rule["metaType"] == "bab"
@@ -68,11 +68,13 @@ def test_detection():
 def test_line_starts_and_sequences(book):
     pages = book(["## heading one\nplain text here", "## heading two\nplain words here", "٣ - حدثنا فلان\n٤ - حدثنا غيره"])
     starts = {r["pattern"]: r["count"] for r in mine.common_line_starts(pages, min_count=2).collect()}
-    assert starts == {"##\\s*heading": 2, "plain": 2, "{{numbered}}{{naql}}": 2} or starts.get("plain") == 2
+    assert starts == {"##\\s*heading": 2, "plain": 2, "{{numbered}}{{naql}}": 2}
     many = mine.common_line_starts(pages, min_count=2, max_examples=2, sort_by="count").collect()
     assert all(len(r["examples"]) == 2 for r in many)
     pairs = {r["pattern"]: r["count"] for r in mine.repeating_sequences(pages, 2, 2, 2, require_token=False).collect()}
-    assert pairs.get("here") is None and any("{{naql}}" in p or "here" in p for p in pairs)
+    assert pairs == {"##\\s*heading": 2, "{{numbered}}\\s*{{naql}}": 2}
+    told = mine.repeating_sequences(pages, 2, 2, 2, max_examples=2).collect()
+    assert [(r["pattern"], r["count"], [e["text"] for e in r["examples"]]) for r in told] == [("{{numbered}}\\s*{{naql}}", 2, ["٣ - حدثنا", "٤ - حدثنا"])]
 
 
 def test_sequences_equal_brute_force(book):
@@ -88,6 +90,26 @@ def test_sequences_equal_brute_force(book):
     assert got == want
 
 
+def test_a_long_text_is_counted_in_linear_time(book):
+    text = "alpha beta. " * 33_333 + "gamma\n" * 20_000
+    got = {r["pattern"]: r["count"] for r in mine.repeating_sequences(book([text]), 1, 2, 100, require_token=False, max_examples=0).collect()}
+    assert got["alpha\\s*beta"] == 33_333 and got["gamma\\s*gamma"] == 19_999 and got["{{tarqim}}"] == 33_333
+
+
+def test_line_offsets_of_long_pages(book):
+    from quirework.operators.layout import lines
+
+    texts = ["\n".join("x" * (k % 5) for k in range(n)) for n in (1, 127, 128, 129, 1000, 20_000)] + [""]
+    got = {(r["page_seq"], r["line_no"]): (r["local"], r["line"]) for r in lines(book(texts)).collect()}
+    want = {}
+    for seq, t in enumerate(texts, 1):
+        at = 0
+        for k, line in enumerate(t.split("\n")):
+            want[seq, k] = (at, line)
+            at += len(line) + 1
+    assert got == want
+
+
 def test_headings():
     kinds = {"## باب الجيم": "chapter", "## كلمة": "entry", "## ": "noise", "## س": "marker"}
     assert {h: lexicon.classify_heading(h) for h in kinds} == kinds

@@ -83,6 +83,50 @@ def test_native_and_scanned_points_agree(spark, book):
     assert shape(native_points(pages, rules)) == shape(scanned_points(pages, rules))
 
 
+def test_what_may_span_lines_is_scanned():
+    for spelling in ("\n", r"\n", r"\x0A", r"\u000A", r"\R", r"\s", r"[^x]", r"\W", r"[\t-\r]", r"(?s:.)", r"\012", "\t"):
+        assert not line_native(_Raw(f"^(?:a{spelling}b)")), spelling
+    for plain in ("a b", r"\d+\.", "# ", r"\w+:", "{{raqms:n}} {{dash}} ", r"\u0627b"):
+        assert line_native(Rule("lineStartsWith", (plain,), fuzzy=False)), plain
+
+
+class _Raw(Rule):
+    """A line rule whose pattern is taken as it is."""
+
+    def __init__(self, source):
+        super().__init__("lineStartsWith", (source,))
+
+    def source(self):
+        return self.patterns[0]
+
+
+def test_rules_with_line_breaks_match_across_lines(cut):
+    for spelling in ("\n", r"\n", r"\x0A", r"\u000A"):
+        assert contents(cut(["a\nb\na c"], {"rules": [{"lineStartsWith": [f"a{spelling}b"]}, {"lineStartsWith": ["a c"]}]})) == ["a\nb", "a c"], spelling
+
+
+def test_stop_words_are_found_however_far_back(cut):
+    noise = "١ " * 1000
+    rule = {"lineStartsWith": ["باب"], "fuzzy": False}
+    assert contents(cut([f"هذا من {noise}", "باب أول"], {"rules": [rule | {"pageStartPrevWordStoplist": ["من"]}]})) == [f"هذا من {noise} باب أول"]
+    assert len(contents(cut([f"هذا من\n{noise}\nباب أول"], {"rules": [rule | {"samePagePrevWordStoplist": ["من"]}]}))) == 1
+    assert len(contents(cut([f"هذا من {'x' * 5000}", "باب أول"], {"rules": [rule | {"pageStartPrevWordStoplist": ["من"]}]}))) == 1
+    assert len(contents(cut([f"هذا {'كلمة' * 500}", "باب أول"], {"rules": [rule | {"pageStartPrevWordStoplist": ["من"]}]}))) == 2
+
+
+def test_page_pieces_equal_the_worker_s(spark, book):
+    from quirework.operators.segment import assembled, cut as cut_at, page_pieces, split_points
+    from quirework.operators.breaks import Breaker
+
+    texts, ids = ["a ", " ", "b\nc", "", "d", " e", "\n", "f"], [1, 2, 4, 5, 6, 9, 10, 12]
+    for most in (0, 1, 3, 6, 20):
+        o = Options.of({"maxPages": most, "breakpoints": [""]})
+        segs = assembled(cut_at(book(texts, ids), split_points(book(texts, ids), o), o), o)
+        got = [(r["content"], r["from_id"], r["to_id"]) for r in page_pieces(segs, o).orderBy("piece").collect()]
+        want = [(p.content, ids[p.first], ids[p.last] if p.last != p.first else None) for p in Breaker(o).pieces(ids, texts)]
+        assert got == want, most
+
+
 def test_newline_joiner_crlf_and_preprocess(cut):
     assert contents(cut(["# a\r\nb", "c..."], {"rules": [{"lineStartsWith": ["# "]}], "pageJoiner": "newline", "preprocess": ["condenseEllipsis"]})) == ["# a\nb\nc…"]
 
