@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,23 +34,26 @@ def lines(pages: DataFrame) -> DataFrame:
     return exploded.select("book_id", "page_seq", "page_id", "line_no", F.col("x.local").alias("local"), F.col("x.line").alias("line"))
 
 
-#: Lines whose offsets are summed in one fold.
+#: Elements that are summed in one fold.
 BLOCK = 128
 
 
-def _with_offsets(parts: str):
-    """Lines with offsets: running sums in blocks of ``BLOCK`` lines, then the blocks' own.
+def running_sums(sizes: Column) -> Column:
+    """For each element of an array of numbers the sum of those before it.
 
-    A fold copies its growing array at each step, so one over all lines would be quadratic; in blocks it
-    costs ``BLOCK`` a line, and the fold over blocks a step for each block.
+    A fold copies its growing array at each step, so one over all elements would be quadratic; in blocks of
+    ``BLOCK`` it costs so much an element, and the fold over the blocks a step for each block.
     """
-    ends = lambda sizes: F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    sizes = F.transform(parts, lambda p: F.length(p) + 1)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda b: F.slice(parts, b * BLOCK + 1, F.lit(BLOCK)))
-    within = F.transform(blocks, lambda lines: ends(F.transform(lines, lambda p: F.length(p) + 1)))
+    ends = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / BLOCK).cast("int")), lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)))
+    within = F.transform(blocks, ends)
     bases = F.slice(ends(F.transform(within, lambda w: F.element_at(w, -1))), F.lit(1), F.size(blocks))
     long = F.flatten(F.zip_with(within, bases, lambda w, base: F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x: x + base)))
-    local = F.when(F.size(parts) <= BLOCK, F.slice(ends(sizes), F.lit(1), F.size(parts))).otherwise(long)
+    return F.when(F.size(sizes) <= BLOCK, F.slice(ends(sizes), F.lit(1), F.size(sizes))).otherwise(long)
+
+
+def _with_offsets(parts: str):
+    local = running_sums(F.transform(parts, lambda p: F.length(p) + 1))
     return F.transform(F.arrays_zip(F.col(parts).alias("line"), local.alias("local")), lambda z: F.struct(z["line"].alias("line"), z["local"].alias("local")))
 
 
