@@ -1,26 +1,30 @@
 """Line dedup: a suffix array over line-ID sequences, built by distributed prefix doubling.
 
-Every document is a sequence of line IDs (128-bit line hashes).  Suffixes are first ranked by one
-line and then by doubling: the rank of a suffix by ``2h`` lines comes from the pair (rank by ``h`` lines
-here, rank by ``h`` lines ``h`` further on), and a depth between two powers from two overlapping ranks.
-The order of line IDs is free, so a rank needs only to tell groups apart: it is the identity of the
-group's first member, which takes no global sort.  A group of equal rank by ``h`` lines is one interval
-of the suffix array whose longest common prefix is ``h`` or more.  A suffix alone in its group is
-discarded at once, so after the first round only repeated text is left.
-
-A run counts from ``min_lines`` lines or, in fewer lines, from ``min_words`` words.  At each position
-every window of 1 to ``min_lines`` lines that counts is tested, not the shortest alone, which may reach
-past the end of a run that a longer one from further ahead fits.  Doubling stops where ranks cover
-``min_lines`` lines: a longer run is the union of its windows of that depth.  In each interval the
-member first in (doc_id, line) order stays, and the window's lines go in all others.
+Every document is a sequence of line IDs (128-bit line hashes, which also give their order).  The rank of
+a suffix by ``h`` lines is its place in the suffix array so far: how many suffixes sort before it, equal
+ones sharing a rank.  The rank by ``2h`` lines comes from the pair (rank here, rank ``h`` lines further on),
+ordered by one range-partitioned running count over the distinct pairs, and a depth between two powers
+of two from two ranks that overlap.  Suffixes of equal rank by ``h`` lines are an interval of the suffix
+array whose longest common prefix is ``h`` or more.  A suffix alone in its interval is discarded at once,
+so after the first round only repeated text is left; doubling goes on until all ranks are unique or all
+runs have ended.
+
+In each interval the member first in (doc_id, line) order stays; the ``h`` lines at all others are copies.
+A maximal repeated run of ``n`` lines, ``2**k`` the largest power of two in ``n``, is the union of its windows of
+``2**k`` lines at its start and at its end, so the intervals by powers of two cover it whole.
+
+A window counts from ``min_lines`` lines or, in fewer lines, from ``min_words`` words; windows of 1 to
+``min_lines`` lines and of all larger powers of two are tested at each line.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import checkpoint, fresh
+from ..operators.layout import running_sums
+from .storage import checkpoint, fresh, running
 
 NO_ID = -(1 << 63)
 SUFFIX = ["did", "key", "pos"]
@@ -34,60 +38,60 @@ def _words(line: Column) -> Column:
     return F.when(F.trim(line) == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
-def _lines(docs: DataFrame, min_lines: int, min_words: int, least_words: int) -> DataFrame:
-    """did, key, pos, id1, id2, need (lines of the shortest window that counts; 0: none), for each line."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """did, key, pos, before, after (words of the document before and after the line), depth (1), by1, by2 (the line's ID)."""
     per_doc = docs.where(F.col("text").isNotNull()).select(*_keys(), F.split("text", "\n", -1).alias("lines"))
-    per_doc = per_doc.select("did", "key", "lines", F.transform("lines", _words).alias("words"))
+    words = F.transform("lines", _words)
+    zipped = F.arrays_zip(F.col("lines").alias("line"), words.alias("words"), running_sums(words).alias("before"))
+    item = lambda z: F.struct(z["before"].alias("before"), (z["before"] + z["words"]).alias("after"), F.lit(1).alias("depth"), F.xxhash64(z["line"]).alias("by1"), F.xxhash64(F.lit(1), z["line"]).alias("by2"))
+    return per_doc.select("did", "key", F.posexplode(F.transform(zipped, item)).alias("pos", "x")).select(*SUFFIX, "x.*")
 
-    def item(line: Column, i: Column) -> Column:
-        at = lambda j: F.get(F.col("words"), i + j)
-        need, total = None, at(0)
-        for h in range(1, min_lines):
-            need = F.when(total >= min_words, h) if need is None else need.when(total >= min_words, h)
-            total = total + at(h)  # null beyond the last line
-        enough = total >= min(min_words, least_words)
-        need = F.when(enough, min_lines) if need is None else need.when(enough, min_lines)
-        return F.struct(F.xxhash64(line).alias("id1"), F.xxhash64(F.lit(1), line).alias("id2"), need.otherwise(0).alias("need"))
 
-    return per_doc.select("did", "key", F.posexplode(F.transform("lines", item)).alias("pos", "x")).select(*SUFFIX, "x.*")
+def _ranked(suffixes: DataFrame) -> DataFrame:
+    """``suffixes`` by (depth, by1, by2): those that aren't alone, with ``rank`` and whether an earlier one is equal (``later``).
 
-
-def _ranked(df: DataFrame, by: list[str]) -> DataFrame:
-    """``df`` with ``rank``, the first suffix of its group by ``by``; suffixes alone in a group go.
-
-    The groups come from an aggregate with map-side combining and are joined back, so a line that a
-    billion documents have is one row there, and AQE may split its side of the join.
+    Groups come from an aggregate with map-side combining and are joined back, so a line that a billion
+    documents have is one row there, and AQE may split its side of the join.
     """
-    groups = df.groupBy(*by).agg(F.min(F.struct(*SUFFIX)).alias("rank"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return df.join(groups.drop("copies"), by).select(*SUFFIX, "need", "rank")
-
-
-def _paired(state: DataFrame, left: DataFrame, ahead: Column) -> DataFrame:
-    """``left`` with ``after``, the rank ``ahead`` lines further on; suffixes that have none go."""
-    right = state.select("did", "key", F.col("pos").alias("ahead"), F.col("rank").alias("after"))
-    pairs = left.withColumn("ahead", F.col("pos") + ahead)
-    return pairs.join(right, ["did", "key", "ahead"]).select(*SUFFIX, "need", F.col("rank").alias("before"), "after")
+    by = ["depth", "by1", "by2"]
+    groups = suffixes.groupBy(*by).agg(F.min(F.struct(*SUFFIX)).alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    ranks = running(groups, by, F.col("copies"), "rank").drop("copies")
+    later = (F.struct(*SUFFIX) != F.col("head")).alias("later")
+    return checkpoint(suffixes.join(ranks, by).select(*SUFFIX, "before", "after", "depth", "rank", later))
 
 
 def repeated_windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> DataFrame:
-    """(did, key, pos, depth): the longest window, of ``depth`` lines from ``pos``, that counts and that an earlier copy exists of."""
+    """did, key, pos, depth: windows of ``depth`` lines from ``pos`` that count and of which there is an earlier copy."""
     if min_lines < 1:
         raise ValueError("min_lines must be 1 or more")
-    lines = checkpoint(_lines(docs, min_lines, min_words, least_words))
-    state, size, hits = checkpoint(_ranked(lines, ["id1", "id2"])), 1, []
-    later = F.struct(*SUFFIX) != F.col("rank")
+    words = F.col("after") - F.col("before")
+    counts = (words >= min_words) | (F.col("depth") >= min_lines) & (words >= min(min_words, least_words))
+    size, found = 1, _ranked(checkpoint(_lines(docs)))
+    hits = []
     while True:
-        hits.append(state.where(F.col("need").between(1, size) & later).select(*SUFFIX, F.lit(size).alias("depth")))
-        for depth in range(size + 1, min(2 * size - 1, min_lines) + 1):
-            between = _paired(state, state.where(F.col("need").between(1, depth)), F.lit(depth - size))
-            hits.append(_ranked(between, ["before", "after"]).where(later).select(*SUFFIX, F.lit(depth).alias("depth")))
-        if 2 * size > min_lines:
+        hits.append(found.where(F.col("later") & counts).select(*SUFFIX, "depth"))
+        state = found.where(F.col("depth") == size)
+        if state.isEmpty():
             break
-        state, size = checkpoint(_ranked(_paired(state, state, F.lit(size)), ["before", "after"])), 2 * size
+        order = W.partitionBy("did", "key").orderBy("pos")
+        depths = [*range(size + 1, min(2 * size - 1, min_lines) + 1), 2 * size]
+        ahead = [F.first(F.struct(F.lit(d).alias("depth"), F.col("rank").alias("by2"), F.col("after").alias("end"))).over(order.rangeBetween(d - size, d - size)) for d in depths]
+        pairs = state.select(*SUFFIX, "before", F.col("rank").alias("by1"), F.array(*ahead).alias("xs")).select(*SUFFIX, "before", "by1", F.explode(F.array_compact("xs")).alias("x"))
+        size, found = 2 * size, _ranked(pairs.select(*SUFFIX, "before", F.col("x.end").alias("after"), "x.depth", "by1", "x.by2"))
     out = hits[0]
     for x in hits[1:]:
         out = out.unionByName(x)
-    return out.groupBy(*SUFFIX).agg(F.max("depth").alias("depth"))
+    return out
+
+
+def repeated_runs(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> DataFrame:
+    """did, key, start, end: stretches of lines that are copies; windows that touch or overlap are one stretch."""
+    end = F.col("pos") + F.col("depth")
+    doc = W.partitionBy("did", "key").orderBy("pos")
+    windows = repeated_windows(docs, min_lines, min_words, least_words).groupBy(*SUFFIX).agg(F.max("depth").alias("depth"))
+    reach = windows.withColumn("reach", F.max(end).over(doc.rowsBetween(W.unboundedPreceding, -1)))
+    starts = F.sum(F.when(F.col("pos") <= F.col("reach"), 0).otherwise(1)).over(doc)
+    return reach.withColumn("run", starts).groupBy("did", "key", "run").agg(F.min("pos").alias("start"), F.max(end).alias("end")).drop("run")
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> DataFrame:
@@ -105,12 +109,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_
     the input's order; other columns pass unchanged, but ``n_chars`` (if there) follows a changed text.
     """
     did, key, gone = fresh(docs, "qw_did", "qw_key", "qw_gone")
-    lists = (
-        repeated_windows(docs, min_lines, min_words, least_words)
-        .groupBy("did", "key")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("pos"), F.col("pos") + F.col("depth") - 1)))).alias(gone))
-        .withColumnsRenamed({"did": did, "key": key})
-    )
+    runs = repeated_runs(docs, min_lines, min_words, least_words)
+    lists = runs.groupBy("did", "key").agg(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))).alias(gone)).withColumnsRenamed({"did": did, "key": key})
     k1, k2 = _keys()
     keyed = docs.withColumns({did: k1, key: k2})
     joined = keyed.join(lists, [did, key], "left")
@@ -124,16 +124,16 @@ def dedup_lines(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_
 
 
 def oracle(min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> str:
-    """The same in DuckDB SQL, comparing the lines themselves."""
-    total = lambda h: " + ".join(f"words[pos + {j + 1}]" for j in range(h))
-    needs = " ".join(f"WHEN {total(h)} >= {min_words} THEN {h}" for h in range(1, min_lines))
+    """The same in DuckDB SQL, comparing the windows' lines themselves."""
+    depths = sorted({*range(1, min_lines + 1), *(1 << k for k in range(20))})
     return f"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 w AS (SELECT *, list_transform(lines, lambda x: CASE WHEN trim(x) = '' THEN 0 ELSE length(x) - length(replace(x, ' ', '')) + 1 END) AS words FROM d),
 p AS (SELECT *, unnest(range(len(lines))) AS pos FROM w),
-n AS (SELECT *, CASE {needs} WHEN {total(min_lines)} >= {min(min_words, least_words)} THEN {min_lines} ELSE 0 END AS need FROM p),
-r AS (SELECT doc_id, pos, need, row_number() OVER (PARTITION BY need, list_slice(lines, pos + 1, pos + need) ORDER BY doc_id, pos) AS nth FROM n WHERE need > 0),
-g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + need)) AS pos FROM r WHERE nth > 1),
+h AS (SELECT doc_id, pos, depth, md5(array_to_string(list_slice(lines, pos + 1, pos + depth), chr(10))) AS id, list_sum(list_slice(words, pos + 1, pos + depth)) AS words
+      FROM p JOIN (SELECT unnest({depths}) AS depth) ON pos + depth <= len(lines)),
+r AS (SELECT *, row_number() OVER (PARTITION BY depth, id ORDER BY doc_id, pos) AS nth FROM h),
+g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + depth)) AS pos FROM r WHERE nth > 1 AND (words >= {min_words} OR depth >= {min_lines} AND words >= {min(min_words, least_words)})),
 l AS (SELECT doc_id, list(pos) AS gone FROM g GROUP BY doc_id),
 k AS (SELECT documents.*, gone, array_to_string(list_transform(list_filter(range(len(string_split(text, chr(10)))), lambda i: NOT list_contains(gone, i)), lambda i: string_split(text, chr(10))[i + 1]), chr(10)) AS left_text
       FROM documents LEFT JOIN l USING (doc_id))

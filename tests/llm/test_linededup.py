@@ -4,26 +4,25 @@ import random
 
 from pyspark.sql import functions as F
 
-from quirework.llm.linededup import dedup_lines
+from quirework.llm.linededup import _lines, _ranked, dedup_lines
 
 
 def brute(rows, min_lines=3, min_words=50, least_words=5):
-    words = lambda s: len(s.split(" ")) if s.strip(" ") else 0
+    """Every window of 1 to ``min_lines`` lines, or of a larger power of two, that counts and was seen before goes."""
+    words = lambda s: s.count(" ") + 1 if s.strip(" ") else 0
     docs, seen, gone = {(-(1 << 63) if i is None else i): t.split("\n") for i, t in rows if t is not None}, set(), {}
     for i in sorted(docs):
         lines = docs[i]
         for p in range(len(lines)):
-            total = 0
-            for h in range(1, min_lines + 1):
+            for h in sorted({*range(1, min_lines + 1), *(1 << k for k in range(len(lines).bit_length()))}):
                 if p + h > len(lines):
                     break
-                total += words(lines[p + h - 1])
-                if total >= (min_words if h < min_lines else min(min_words, least_words)):
+                total = sum(map(words, lines[p : p + h]))
+                if total >= min_words or h >= min_lines and total >= min(min_words, least_words):
                     key = tuple(lines[p : p + h])
                     if key in seen:
                         gone.setdefault(i, set()).update(range(p, p + h))
                     seen.add(key)
-                    break
     return {i: "\n".join(x for k, x in enumerate(lines) if k not in gone.get(i, ())) for i, lines in docs.items()}
 
 
@@ -91,3 +90,27 @@ def test_whole_maximal_runs_go(docs):
     rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))) for i in range(40)]
     for min_lines in (1, 3, 4, 6):
         assert kept(dedup_lines(docs(rows), min_lines)) == {i: t for i, t in whole_runs(rows, min_lines).items() if t}
+
+
+def test_runs_of_hundreds_of_lines(docs):
+    rng = random.Random(7)
+    line = lambda: " ".join(rng.choice("abcdefgh") * 3 for _ in range(6))
+    runs = [[line() for _ in range(n)] for n in (300, 517, 64, 65)]
+    rows = []
+    for i in range(12):
+        a, b = rng.choice(runs), rng.choice(runs)
+        cut = rng.randint(0, len(a) - 3)
+        rows.append((i, "\n".join([line(), *a[cut:], line(), *b[: rng.randint(3, len(b))], line()])))
+    want = {i: t for i, t in whole_runs(rows).items() if t}
+    assert kept(dedup_lines(docs(rows))) == want == {i: t for i, t in brute(rows).items() if t}
+
+
+def test_ranks_are_places_in_the_suffix_array(docs):
+    """Ranks by h lines order the repeated suffixes as their line IDs do, and equal ranks are equal prefixes."""
+    rng = random.Random(3)
+    rows = [(i, "\n".join(rng.choice("abc") for _ in range(12))) for i in range(6)]
+    lines = _lines(docs(rows))
+    ids = {(r["did"], r["pos"]): (r["by1"], r["by2"]) for r in lines.collect()}
+    text = lambda d, p, h: tuple(ids[d, p + k] for k in range(h))
+    one = {(r["did"], r["pos"]): r["rank"] for r in _ranked(lines).collect()}
+    assert sorted(one, key=one.get) and all((one[x] < one[y]) == (text(*x, 1) < text(*y, 1)) and (one[x] == one[y]) == (text(*x, 1) == text(*y, 1)) for x in one for y in one)
