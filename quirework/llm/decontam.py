@@ -9,53 +9,58 @@ what other items (or shards) hold never hides one.  A maximal run is removed whe
 * it has at least ``min_span`` tokens and such runs of the document cover at least ``max_coverage``
   of one item's tokens.
 
-Tokens are lower-case runs of letters, marks and digits, so case, punctuation and layout don't hide a
+Tokens are folded runs of letters, marks and digits, so case, punctuation and layout don't hide a
 passage.  Most documents never reach the automaton: a matched run of ``min_span`` tokens needs
-``min_span - 1`` consecutive token pairs that the items have, which is tested on whole Arrow batches.
+``min_span - 1`` consecutive token pairs that the items have, which is tested on whole Arrow batches.  That
+test and the automaton take the same characters for word characters and fold them by one function.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import fresh
-from .textbatch import normal_words, plain, slices
+from .storage import checkpoint, fresh
+from .textbatch import folded, normal_words, plain, slices, word_pattern
 
-TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("tokens", T.IntegerType()), T.StructField("item_id", T.LongType())]))
 SPAN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("tokens", pa.int32()), ("item_id", pa.int64())]))
 
 
 def tokens_of(text: str) -> list[str]:
-    return [m[0] for m in TOKEN.finditer(text.lower())]
+    return folded(word_pattern().findall(text))
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of token sequences; states know which items they occur in."""
+    """Generalised suffix automaton of token sequences; states know which items, by number, they occur in.
+
+    ``names``: the id that each item is reported by; ids may be equal, items are still told apart.
+    """
 
     def __init__(self, items: list[tuple[int, list[str]]]):
+        self.names = [name for name, _ in items]
+        self.word = word_pattern()  # workers get it with the automaton
         self.vocab: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.of: list[set[int]] = [set()]
         self.item_tokens: dict[int, int] = {}
         pairs = set()
-        for item_id, words in items:
+        for number, (_, words) in enumerate(items):
             ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words]
-            self.item_tokens[item_id] = max(len(ids), self.item_tokens.get(item_id, 0))
+            self.item_tokens[number] = len(ids)
             last = 0
             for t in ids:
                 last = self._extend(last, t)
-                self.of[last].add(item_id)
+                self.of[last].add(number)
             pairs.update(zip(ids, ids[1:], strict=False))
         for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
             if self.link[state] > 0:
@@ -144,26 +149,24 @@ class Limits:
 
 
 def spans_of(text: str, automaton: SuffixAutomaton, limits: Limits) -> list[dict]:
-    """Character ranges to remove: one for each item of each offending run."""
-    found = list(TOKEN.finditer(text))
-    runs = automaton.item_runs([m[0].lower() for m in found], min(limits.min_span, limits.max_span))
+    """Character ranges to remove: one for each item id of each offending run, in order."""
+    found = list(automaton.word.finditer(text))
+    runs = automaton.item_runs(folded([m[0] for m in found]), min(limits.min_span, limits.max_span))
     covered: dict[int, set[int]] = {}
     for a, b, item in runs:
         if b - a >= limits.min_span:
             covered.setdefault(item, set()).update(range(a, b))
     heavy = {i for i, at in covered.items() if len(at) >= limits.max_coverage * automaton.item_tokens[i]}
-    return [
-        {"start": found[a].start(), "end": found[b - 1].end(), "tokens": b - a, "item_id": i}
-        for a, b, i in sorted(runs)
-        if b - a >= limits.max_span or b - a >= limits.min_span and i in heavy
-    ]
+    kept = {(a, b, automaton.names[i]) for a, b, i in runs if b - a >= limits.max_span or b - a >= limits.min_span and i in heavy}
+    return [{"start": found[a].start(), "end": found[b - 1].end(), "tokens": b - a, "item_id": name} for a, b, name in sorted(kept)]
 
 
-def without(text: str, spans: list[dict]) -> tuple[str, int]:
+def without(text: str, spans: list[dict], word: re.Pattern | None = None) -> tuple[str, int]:
     """``text`` without the spans' characters, and how many characters went.
 
     The gap's own white space becomes one blank (or line break, if it had one).
     """
+    word = word or word_pattern()
     merged: list[list[int]] = []
     for a, b in sorted((s["start"], s["end"]) for s in spans):
         if merged and a <= merged[-1][1]:
@@ -173,7 +176,7 @@ def without(text: str, spans: list[dict]) -> tuple[str, int]:
     out, at = "", 0
     for a, b in merged:
         out, at = out + text[at:a], b
-        while at < len(text) and not text[at].isspace() and not TOKEN.match(text[at]):
+        while at < len(text) and not text[at].isspace() and not word.match(text[at]):
             at += 1  # the passage's closing punctuation
         if (not out or out[-1].isspace()) and at < len(text) and text[at].isspace():
             brk = "\n" if "\n" in out[len(out.rstrip()) :] + text[at : at + 1] else " "
@@ -222,9 +225,10 @@ def _pass(automaton_of, limits: Limits, text_at: int, spans_at: int, last: bool,
                             found[r] = got
                 spans = columns[spans_at].to_pylist() if columns[spans_at].null_count < len(texts) else [None] * len(texts)
                 for r, got in found.items():
-                    spans[r] = (spans[r] or []) + got
+                    merged = {(s["start"], s["end"], s["item_id"]): s for s in (spans[r] or []) + got}
+                    spans[r] = [merged[k] for k in sorted(merged)]
                 if last and (hit := [r for r, s in enumerate(spans) if s]):
-                    new = {r: without(texts[r].as_py(), spans[r])[0] for r in hit}
+                    new = {r: without(texts[r].as_py(), spans[r], automaton.word)[0] for r in hit}
                     mask = np.zeros(len(texts), bool)
                     mask[hit] = True
                     columns[text_at] = pc.replace_with_mask(columns[text_at].cast(pa.string()), pa.array(mask), pa.array([new[r] for r in hit], pa.string()))
@@ -255,14 +259,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits | None =
     """``docs`` with every offending span cut from ``text``, plus ``spans_column`` that lists them.
 
     Narrow: no shuffle.  What is broadcast is bounded: the items' texts are summed as they are read
-    and cut into shards of at most ``max_shard_chars`` characters (a longer item is a shard); each
-    shard is one automaton and one chained pass, so a worker holds one of them at a time, however
-    large the benchmark is.  Spans of all passes refer to the original text and are cut in the last.
+    and cut into shards of at most ``max_shard_chars`` characters (a longer item is a shard), and each shard
+    is one automaton and one pass.  A benchmark of one shard is one pass; after each pass of several the
+    spans found so far are checkpointed and the shard's broadcast is released, so a worker holds one
+    automaton at a time, however large the benchmark is.  Spans of all passes refer to the original text
+    and are cut in the last.
 
     Defined cases: a null text stays null and an empty one empty, with no spans; other columns, extra
     ones included, pass unchanged, but ``n_chars`` (if there and integer) follows a changed text; equal
     rows get equal results; an empty benchmark changes nothing; items with a null text are ignored and
-    a null item_id is reported as -1; items of fewer than ``min_span`` tokens are never matched.
+    a null item_id is reported as -1; items that share an item_id (or have none) are judged one by one, and equal
+    spans of one id are listed once; items of fewer than ``min_span`` tokens are never matched.
     If ``docs`` has a column of the name ``spans_column``, the next free name is used.
     """
     limits = limits or Limits()
@@ -280,4 +287,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, limits: Limits | None =
         out = out.mapInArrow(_pass(held, limits, text_at, len(names) - 1, after is None, chars_at, names), schema)
         if after is None:
             return out
+        out = checkpoint(out)
+        held.destroy()
         now = after

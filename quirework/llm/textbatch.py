@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +49,29 @@ class Words:
         self.codes, self.doc = codes, doc
 
 
+def fold(texts: pa.Array) -> pa.Array:
+    """Lower case, character by character, with one form of the Greek sigma: equal on a whole text and on its words."""
+    return pc.replace_substring(pc.utf8_lower(texts), "\u03c2", "\u03c3")
+
+
 def normal_words(texts: pa.Array) -> Words:
-    """Lower-case runs of letters, marks and digits."""
-    return Words(pc.replace_substring_regex(pc.utf8_lower(texts), NOT_WORD, " "))
+    """Folded runs of letters, marks and digits."""
+    return Words(pc.replace_substring_regex(fold(texts), NOT_WORD, " "))
+
+
+@lru_cache(maxsize=1)
+def word_pattern() -> re.Pattern:
+    """Python's pattern for the runs that ``normal_words`` finds: characters whose folded form the same engine takes for word ones."""
+    codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
+    word = np.asarray(pc.match_substring_regex(fold(pa.array(map(chr, codes), pa.string())), r"[\p{L}\p{M}\p{N}]"))
+    at = np.array(codes)[word]
+    ends = np.flatnonzero(np.diff(at) != 1)
+    ranges = zip([at[0], *at[ends + 1]], [*at[ends], at[-1]], strict=True)
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
+
+
+def folded(words: list[str]) -> list[str]:
+    return fold(pa.array(words, pa.string())).to_pylist()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
