@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,38 +15,121 @@ from .layout import prepared
 from .segment import segment_pages
 
 SHORT = 500
+#: Characters around a segment's own pages in which a text of any length is looked for.
+NEAR = 1000
+ISSUE = "book_id string, seg_seq int, type string, severity string, from_id long, to_id long, found_id long, expected_from long, expected_to long, actual_from long, actual_to long, preview string, evidence string, hint string"
+HINTS = {
+    "page_not_found": "check the page ids of the pages and of the segments",
+    "max_pages_violation": "check maxPages and the breakpoints",
+    "page_attribution_mismatch": "check how repeated texts and page boundaries were attributed",
+    "content_not_found": "check preprocessing, the page joiner and white space",
+}
+
+
+class _Searched:
+    """A book's joined text; finds where a segment's content really is."""
+
+    def __init__(self, seqs: list[int], ids: list[int], texts: list[str], glue: str):
+        self.at = {seq: k for k, seq in enumerate(seqs)}
+        self.ids, self.text, self.starts, start = ids, glue.join(texts), [], 0
+        for t in texts:
+            self.starts.append(start)
+            start += len(t) + 1
+
+    def page(self, at: int) -> int:
+        return self.ids[bisect_right(self.starts, at) - 1]
+
+    def end(self, k: int) -> int:
+        return self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text) + 1
+
+    def judge(self, content: str, from_seq: int, last_seq: int | None, from_id: int, to_id: int | None, max_pages: int | None, full_below: int) -> tuple | None:
+        """(type, found_id, expected_from, expected_to, actual_to), or None if all is well.
+
+        The first match that begins on the segment's own pages counts; it may run on to later ones.
+        """
+        first = self.at[from_seq]
+        start = self.starts[first]
+        end = self.end(self.at[last_seq]) if last_seq is not None else len(self.text) + 1
+        if not content:
+            return "content_not_found", None, None, None, to_id
+        hit = self.text.find(content, start)
+        if 0 <= hit < end:
+            ends = self.page(hit + len(content) - 1)
+            if to_id is not None and max_pages is not None and to_id - from_id > max_pages:
+                return None  # told already
+            if max_pages == 0 and ends != from_id:
+                return "max_pages_violation", None, from_id, from_id, ends
+            most = to_id if to_id is not None else None if max_pages is None else from_id + max_pages
+            return None if most is None or ends <= most else ("max_pages_violation", None, from_id, most, ends)
+        near = self.text.find(content, max(0, start - NEAR))
+        hit = near if 0 <= near < end + NEAR else self.text.find(content) if len(content) < full_below else -1
+        if hit < 0:
+            return "content_not_found", None, None, None, to_id
+        return "page_attribution_mismatch", self.page(hit), self.page(hit), self.page(hit + len(content) - 1), to_id
 
 
 def validate_segments(pages: DataFrame, options: dict | Options, segments: DataFrame, full_search_below: int = SHORT) -> DataFrame:
-    """book_id, seg_seq, type, severity, message data (from_id, to_id, found_id, preview) for each issue.
+    """A row for each issue of a segment: type, severity, found_id, what was expected and is, preview, evidence, hint.
 
-    ``page_not_found``: no page of the from or to id.  ``max_pages_violation``: the ids span more than
-    maxPages.  A segment's text must occur in its pages' joined text: if it isn't there it is looked for on the
-    neighbouring pages (``page_attribution_mismatch``) and, when it is short, in the whole book, before it is
-    ``content_not_found``.  The first step joins each segment to its own id range only.
+    ``page_not_found``: no page of the from or to id.  ``max_pages_violation``: the ids span more than maxPages,
+    or the content, begun on its own pages, ends on a later one than ``to`` or maxPages allow.
+    ``page_attribution_mismatch``: the content as a whole begins on other pages of the joined text, within
+    ``NEAR`` characters of its own or, if it is short, anywhere.  ``content_not_found``: it doesn't.
+
+    The first step joins each segment to its own pages only; a segment that lies on them is settled there.
+    Only books with others are joined as a whole, one in a worker at a time, and searched without a cap on hits.
     """
     o = Options.of(options)
     ready = prepared(pages, o.preprocess)
-    ids = ready.select("book_id", "page_id").distinct()
-    segs = segments.select("book_id", "seg_seq", "content", "from_id", F.coalesce("to_id", "from_id").alias("last_id"), "to_id")
-    known = segs.join(ids.withColumnRenamed("page_id", "from_id").withColumn("has_from", F.lit(True)), ["book_id", "from_id"], "left").join(ids.withColumnRenamed("page_id", "last_id").withColumn("has_last", F.lit(True)), ["book_id", "last_id"], "left")
-    shape = lambda df, kind, severity, found=None: df.select("book_id", "seg_seq", F.lit(kind).alias("type"), F.lit(severity).alias("severity"), "from_id", "to_id", (found if found is not None else F.lit(None).cast("long")).alias("found_id"), X.preview("content").alias("preview"))
-    missing = shape(known.where("has_from is null or has_last is null"), "page_not_found", "error")
-    there = known.where("has_from and has_last").select("book_id", "seg_seq", "content", "from_id", "to_id", "last_id")
-    out = missing
+    seqs = ready.groupBy("book_id", "page_id").agg(F.max("page_seq").alias("seq"))
+    ends = lambda name, seq: seqs.withColumnsRenamed({"page_id": name, "seq": seq})
+    segs = segments.select("book_id", F.col("seg_seq").cast("int").alias("seg_seq"), F.coalesce("content", F.lit("")).alias("content"), "from_id", F.coalesce("to_id", "from_id").alias("last_id"), "to_id")
+    known = segs.join(ends("from_id", "from_seq"), ["book_id", "from_id"], "left").join(ends("last_id", "last_seq"), ["book_id", "last_id"], "left")
+    texts = ready.select("book_id", "page_seq", F.col("content").alias("text"))
+    own = known.withColumn("page_seq", F.explode_outer(F.when(F.col("last_seq") >= F.col("from_seq"), F.sequence("from_seq", "last_seq")))).join(texts, ["book_id", "page_seq"], "left")
+    about = ["content", "from_id", "to_id", "last_id", "from_seq", "last_seq"]
+    state = own.groupBy("book_id", "seg_seq").agg(F.array_sort(F.collect_list(F.struct("page_seq", "text"))).alias("parts"), F.first(F.struct(*about)).alias("s")).select("book_id", "seg_seq", "s.*", F.array_join(F.transform("parts", lambda p: p["text"]), o.glue).alias("text"))
+    lost = state.where(F.col("from_seq").isNotNull() & F.expr("content = '' or locate(content, text, 1) = 0")).drop("text")
+    return _told(state, o).unionByName(_searched(ready, lost, o, full_search_below))
+
+
+def _told(state: DataFrame, o: Options) -> DataFrame:
+    """What ids alone tell: pages that there aren't, spans over maxPages."""
+    none = F.lit(None).cast("long")
+    issue = lambda when, kind, evidence, low=none, high=none: F.when(when, F.struct(F.lit(kind).alias("type"), low.cast("long").alias("expected_from"), high.cast("long").alias("expected_to"), evidence.alias("evidence"), F.lit(HINTS[kind]).alias("hint")))
+    absent = F.when(F.col("from_seq").isNull(), F.format_string("no page has the id %d that the segment begins on", "from_id")).otherwise(F.format_string("no page has the id %d that the segment ends on", "last_id"))
+    found = [issue(F.col("from_seq").isNull() | F.col("last_seq").isNull(), "page_not_found", absent)]
     if o.max_pages is not None:
-        out = out.unionByName(shape(there.where(F.col("last_id") - F.col("from_id") > o.max_pages), "max_pages_violation", "error"))
-    order = F.struct("page_seq", "text")
-    texts = ready.select("book_id", "page_seq", F.col("page_id"), F.col("content").alias("text"))
-    own = there.where("last_id >= from_id").withColumn("page_id", F.explode(F.sequence("from_id", "last_id"))).join(texts, ["book_id", "page_id"])
-    joined = own.groupBy("book_id", "seg_seq").agg(F.array_sort(F.collect_list(order)).alias("parts"), F.first("content").alias("content"), F.first("from_id").alias("from_id"), F.first("to_id").alias("to_id"))
-    text = F.array_join(F.transform("parts", lambda p: p["text"]), o.glue)
-    lost = joined.withColumn("text", text).where(F.expr("locate(content, text, 1) = 0")).select("book_id", "seg_seq", "content", "from_id", "to_id")
-    near = F.col("page_id").between(F.col("from_id") - 2, F.coalesce("to_id", "from_id") + 2)
-    elsewhere = lost.join(texts.select("book_id", "page_id", "text"), "book_id").where((F.length("content") < full_search_below) | near).withColumn("head", F.substring_index("content", "\n", 1)).where(F.expr("locate(head, text, 1) > 0"))
-    found = elsewhere.groupBy("book_id", "seg_seq").agg(F.min("page_id").alias("hit"))
-    judged = lost.join(found, ["book_id", "seg_seq"], "left")
-    return out.unionByName(shape(judged.where("hit is not null"), "page_attribution_mismatch", "error", F.col("hit"))).unionByName(shape(judged.where("hit is null"), "content_not_found", "error"))
+        span = F.col("to_id") - F.col("from_id")
+        over = F.col("from_seq").isNotNull() & ((span > o.max_pages) | (F.lit(o.max_pages == 0) & (span != 0)))
+        found.append(issue(over, "max_pages_violation", F.format_string(f"the segment spans %d pages, maxPages is {o.max_pages}", span), F.col("from_id"), F.col("from_id") + o.max_pages))
+    rows = state.select("book_id", "seg_seq", "from_id", "to_id", X.preview("content").alias("preview"), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return rows.select(
+        "book_id", "seg_seq", "x.type", F.lit("error").alias("severity"), "from_id", "to_id", none.alias("found_id"), "x.expected_from", "x.expected_to", F.col("from_id").alias("actual_from"), F.col("to_id").alias("actual_to"), "preview", "x.evidence", "x.hint",
+    )
+
+
+def _searched(ready: DataFrame, lost: DataFrame, o: Options, full_below: int) -> DataFrame:
+    """The issues of segments that don't lie on their own pages alone."""
+    names = [f.split()[0] for f in ISSUE.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), *[pa.int64()] * 7, pa.string(), pa.string(), pa.string()]
+    glue, max_pages = o.glue, o.max_pages
+
+    def run(asked: pa.Table, book: pa.Table) -> pa.Table:
+        book = book.sort_by("page_seq")
+        text = _Searched(*(book[c].to_pylist() for c in ("page_seq", "page_id", "content")), glue)
+        rows = []
+        for r in asked.to_pylist():
+            found = text.judge(r["content"], r["from_seq"], r["last_seq"], r["from_id"], r["to_id"], max_pages, full_below)
+            if found:
+                kind, page, low, high, ends = found
+                told = {"max_pages_violation": f"the content ends on page {ends}, not by {high}", "page_attribution_mismatch": f"the content is on page {page}, not {r['from_id']}", "content_not_found": f"its {len(r['content'])} characters are not where they should be"}[kind]
+                rows.append((r["book_id"], r["seg_seq"], kind, "error", r["from_id"], r["to_id"], page, low, high, r["from_id"], ends, r["preview"], told, HINTS[kind]))
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
+
+    asked = lost.select("book_id", "seg_seq", "content", "from_id", "to_id", "from_seq", "last_seq", X.preview("content").alias("preview"))
+    books = ready.join(lost.select("book_id").distinct(), "book_id", "left_semi").select(F.col("book_id").alias("of_book"), "page_seq", "page_id", "content")
+    return asked.groupBy("book_id").cogroup(books.groupBy("of_book")).applyInArrow(run, ISSUE)
 
 
 def validation_summary(issues: DataFrame, segments: DataFrame) -> DataFrame:

@@ -93,11 +93,17 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues of segments that were damaged in three ways, by their number."""
+    """The issues of segments that were damaged in seven ways, told apart by their number and book."""
     pages, options = chat_books(spark, sf_dir), {"maxPages": 0, "breakpoints": [""]}
-    bad = segment_pages(pages, options).withColumn("kind", F.col("seg_seq") % 4)
-    bad = bad.withColumn("content", F.when(F.col("kind") == 1, F.concat(F.lit("absent "), "content")).otherwise(F.col("content"))).withColumn("from_id", F.when(F.col("kind") == 2, F.lit(-5)).otherwise(F.col("from_id")))
-    return check.validate_segments(pages, options, bad).groupBy("type").agg(F.count(F.lit(1)).alias("count"))
+    order = W.partitionBy("book_id").orderBy("seg_seq")
+    good = segment_pages(pages, options).withColumns({"kind": F.pmod(F.col("book_id").cast("long") + F.col("seg_seq"), F.lit(8)), "next": F.lead("content").over(order), "after": F.lead("from_id").over(order)})
+    kind = lambda k: F.col("kind") == k
+    bad = good.withColumns({
+        "content": F.when(kind(1), F.concat(F.lit("absent "), "content")).when(kind(3), F.concat("content", F.lit(" and a tail that no page has"))).when(kind(4) & F.col("next").isNotNull(), F.concat_ws(" ", "content", "next")).when(kind(7), F.lit("")).otherwise(F.col("content")),
+        "from_id": F.when(kind(2), F.lit(-5)).when(kind(6) & F.col("after").isNotNull(), F.col("after")).otherwise(F.col("from_id")),
+        "to_id": F.when(kind(5), F.coalesce("after", F.lit(-7))).otherwise(F.col("to_id")),
+    })
+    return check.validate_segments(pages, options, bad).select("book_id", F.col("seg_seq").cast("long").alias("seg_seq"), "type", "from_id", "to_id", "found_id", "actual_to")
 
 
 CANDIDATES = [{"rules": [{"lineStartsWith": list(STARTS)}]}, {"maxPages": 0, "breakpoints": [""]}, {"rules": [{"regex": "("}]}]

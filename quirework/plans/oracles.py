@@ -129,10 +129,38 @@ WITH {PAGES}, f AS (SELECT book_id, page_seq, line_no, {flat} AS flat FROM lines
 SELECT pattern, count(*) AS count, min_by(flat, (book_id, page_seq, line_no)) AS example FROM w WHERE pattern <> '' GROUP BY pattern HAVING count(*) >= {min_count} ORDER BY count DESC, length(pattern) DESC, pattern LIMIT {top_k}"""
 
 
-def no_issues(segments: str) -> str:
-    return f"SELECT count(*) AS segments, CAST(0 AS BIGINT) AS issues, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS warnings, true AS ok FROM ({segments})"
+#: The rules of validation in SQL: ``bad`` has book_id, seg_seq, content, from_id, to_id; ``starts`` and ``pages`` the books.
+JUDGED = """
+books AS (SELECT book_id, string_agg(content, {glue} ORDER BY page_seq) AS text FROM pages GROUP BY book_id),
+ids AS (SELECT book_id, page_id, max(start) AS start, max(start + size) AS stop FROM starts GROUP BY ALL),
+known AS (SELECT bad.*, f.start, t.stop FROM bad LEFT JOIN ids f ON f.book_id = bad.book_id AND f.page_id = bad.from_id LEFT JOIN ids t ON t.book_id = bad.book_id AND t.page_id = coalesce(bad.to_id, bad.from_id)),
+found AS (SELECT known.*, text, CASE WHEN content = '' THEN 0 ELSE strpos(substring(text, start + 1), content) END AS after, greatest(start - 1000, 0) AS low, strpos(text, content) AS whole FROM known JOIN books USING (book_id) WHERE start IS NOT NULL),
+hits AS (SELECT *, CASE WHEN after > 0 AND start + after - 1 < coalesce(stop, length(text)) + 1 THEN start + after - 1 END AS own, strpos(substring(text, low + 1), content) AS near FROM found),
+placed AS (SELECT *, CASE WHEN own IS NOT NULL THEN own + length(content) - 1 END AS ends, CASE WHEN content = '' OR own IS NOT NULL THEN NULL WHEN near > 0 AND low + near - 1 < stop + 1001 THEN low + near - 1 WHEN length(content) < 500 AND whole > 0 THEN whole - 1 END AS other FROM hits),
+told AS (SELECT placed.*, e.page_id AS end_id, o.page_id AS other_id FROM placed ASOF LEFT JOIN starts e ON placed.book_id = e.book_id AND placed.ends >= e.start ASOF LEFT JOIN starts o ON placed.book_id = o.book_id AND placed.other >= o.start),
+issues AS (
+  SELECT book_id, seg_seq, 'page_not_found' AS type, from_id, to_id, NULL AS found_id, to_id AS actual_to FROM known WHERE start IS NULL OR stop IS NULL
+  UNION ALL SELECT book_id, seg_seq, 'max_pages_violation', from_id, to_id, NULL, to_id FROM known WHERE start IS NOT NULL AND to_id <> from_id AND {max_pages} = 0 OR start IS NOT NULL AND to_id - from_id > {max_pages}
+  UNION ALL SELECT book_id, seg_seq, 'max_pages_violation', from_id, to_id, NULL, end_id FROM told WHERE own IS NOT NULL AND NOT coalesce(to_id - from_id > {max_pages}, false) AND ({max_pages} = 0 AND end_id <> from_id OR end_id > coalesce(to_id, from_id + {max_pages}))
+  UNION ALL SELECT book_id, seg_seq, 'page_attribution_mismatch', from_id, to_id, other_id, to_id FROM told WHERE own IS NULL AND other IS NOT NULL
+  UNION ALL SELECT book_id, seg_seq, 'content_not_found', from_id, to_id, NULL, to_id FROM told WHERE own IS NULL AND other IS NULL)"""
+
+
+def no_issues(segments: str, pages: str = PAGES) -> str:
+    """The summary of the SQL's own segments, judged by the rules in SQL without a limit on pages."""
+    judged = JUDGED.format(glue="' '", max_pages=1 << 40)
+    return f"""
+WITH bad AS ({segments}), {pages}, {judged}
+SELECT (SELECT count(*) FROM bad) AS segments, count(*) AS issues, count(*) AS errors, CAST(0 AS BIGINT) AS warnings, count(*) = 0 AS ok FROM issues"""
 
 
 def damaged() -> str:
-    """Every fourth segment has words that no page has, every fourth a page id that there isn't."""
-    return f"SELECT CASE seg_seq % 4 WHEN 1 THEN 'content_not_found' ELSE 'page_not_found' END AS type, count(*) AS count FROM ({page_breaks(0)}) WHERE seg_seq % 4 IN (1, 2) GROUP BY type"
+    """Segments damaged in seven ways, judged in SQL."""
+    return f"""
+WITH good AS ({page_breaks(0)}), {CHATS},
+led AS (SELECT *, (CAST(book_id AS BIGINT) + seg_seq) % 8 AS kind, lead(content) OVER w AS next, lead(from_id) OVER w AS after FROM good WINDOW w AS (PARTITION BY book_id ORDER BY seg_seq)),
+bad AS (SELECT book_id, seg_seq,
+  CASE WHEN kind = 1 THEN 'absent ' || content WHEN kind = 3 THEN content || ' and a tail that no page has' WHEN kind = 4 AND next IS NOT NULL THEN content || ' ' || next WHEN kind = 7 THEN '' ELSE content END AS content,
+  CASE WHEN kind = 2 THEN -5 WHEN kind = 6 AND after IS NOT NULL THEN after ELSE from_id END AS from_id,
+  CASE WHEN kind = 5 THEN coalesce(after, -7) ELSE to_id END AS to_id FROM led), {JUDGED.format(glue="' '", max_pages=0)}
+SELECT book_id, seg_seq, type, from_id, to_id, CAST(found_id AS BIGINT) AS found_id, actual_to FROM issues"""

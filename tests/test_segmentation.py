@@ -188,6 +188,18 @@ def test_validation_finds_what_was_damaged(spark, book):
     assert got == {(1, "content_not_found"), (2, "page_attribution_mismatch"), (3, "page_not_found"), (4, "max_pages_violation")}
 
 
+def test_validation_by_joined_content(spark, book):
+    """Damaged tails, overrun ends, wrong ``to``, other pages, repeated texts, empty contents."""
+    schema = "book_id string, seg_seq int, content string, from_id long, to_id long"
+    judge = lambda texts, options, rows, ids=None: {(r["seg_seq"], r["type"], r["found_id"], r["actual_to"]) for r in validate_segments(book(texts, ids), options, spark.createDataFrame([("b", *r) for r in rows], schema)).collect()}
+    assert judge(["alpha\nbeta", "gamma"], {"maxPages": 0}, [(1, "alpha\nNOT THERE AT ALL", 1, None), (2, "alpha\nbeta gamma", 1, None), (3, "", 1, None), (4, "gamma", 2, None)]) == {(1, "content_not_found", None, None), (2, "max_pages_violation", None, 2), (3, "content_not_found", None, None)}
+    assert judge(["He", "llo"], {}, [(1, "He llo", 1, 1), (2, "He llo", 1, 2)]) == {(1, "max_pages_violation", None, 2)}
+    assert judge(["P0", "P1", "P2"], {"maxPages": 1}, [(1, "P0 P1 P2", 1, None), (2, "P0 P1", 1, 2), (3, "P0\nP1\nP2", 1, 3)]) == {(1, "max_pages_violation", None, 3), (3, "max_pages_violation", None, 3), (3, "content_not_found", None, 3)}
+    assert judge(["same", "same", "other"], {"maxPages": 0}, [(1, "same", 30, None), (2, "same", 20, None), (3, "other", 20, None)], [10, 20, 30]) == {(1, "page_attribution_mismatch", 10, None), (3, "page_attribution_mismatch", 30, None)}
+    far = ["x" * 600, *["filler " * 300] * 2, "last"]
+    assert judge(far, {}, [(1, "x" * 600, 4, None), (2, "last", 1, None), (3, "last", 4, 9)]) == {(1, "content_not_found", None, None), (2, "page_attribution_mismatch", 4, None), (3, "page_not_found", None, 9)}
+
+
 def test_scores_and_stats(book):
     pages = book(["a", "b", "c"])
     rows = score_candidates(pages, [{"maxPages": 0, "breakpoints": [""]}, {"rules": [{"regex": "("}]}, {"maxPages": 5}]).orderBy("index").collect()
