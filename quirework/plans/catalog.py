@@ -7,9 +7,10 @@ as many as documents and none is large; ``conversations`` are books of turns.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,12 +24,6 @@ from . import advisor, oracles, profiles, tooling
 Query = Callable[[SparkSession, str], DataFrame]
 STARTS = ("The ", "And ", "Of ", "De ", "En ", "La ")
 ANY_START = "|".join(STARTS)
-#: Arabic branches have no text in the tables: a small book of our own wording.
-LEXICON = [
-    "## باب السين\nسحب: جر الشيء على الأرض.\nسبح: عام في الماء.\n## سفر\nوسفرة: طعام الراحل.",
-    "سقف: غطاء البيت\nوقال\nقال: كلمة لا تعد مدخلا.\nسلم، سلّم: الصلح",
-    "(س ل م)\nسمع: أدرك الصوت وأسماع: جمعه.\n## فصل في المهمل\nسند: ما يعتمد عليه.",
-]
 PROFILE = profiles.PROFILES["plain"]
 
 
@@ -38,22 +33,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a book; narrow."""
+    return _paged(_table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("book_id"), F.split("text", "\n", -1).alias("lines")))
+
+
+def chat_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a book of turns."""
+    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), seq.alias("page_seq"), F.col("turn").cast("long").alias("page_id"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def _paged(listed: DataFrame) -> DataFrame:
+    """Pages of three lines each, from book_id and lines; narrow."""
     n = oracles.LINES_PER_PAGE
-    listed = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("book_id"), F.split("text", "\n", -1).alias("lines"))
     paged = F.transform(F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / n).cast("int")), lambda k: F.array_join(F.slice("lines", k * n + 1, F.lit(n)), "\n"))
     out = listed.select("book_id", F.posexplode(paged).alias("k", "content"))
     number = (F.col("k") + 1).cast("long")
     return out.select("book_id", number.alias("page_seq"), number.alias("page_id"), "content")
 
 
-def chat_books(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation as a book of turns."""
-    seq = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    return _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("book_id"), seq.alias("page_seq"), F.col("turn").cast("long").alias("page_id"), F.coalesce("text", F.lit("")).alias("content"))
+def _bare(line: Column) -> Column:
+    """A line's words in Arabic letters."""
+    return F.trim(F.regexp_replace(F.translate(F.regexp_replace(line, "[^a-zA-Z ]", ""), oracles.LATIN, oracles.ARABIC), " +", " "))
+
+
+def lexicon_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a lexicon: its lines in Arabic letters, as headings, entries, prose, remarks and paired forms in turn.
+
+    The letters leave out some that every word of the engine's own lists has, so only what is put here is found.
+    """
 
+    def built(a: Column, i: Column) -> Column:
+        w = F.substring_index(a, " ", 1)
+        r = F.substring(a, F.length(w) + 2, F.length(a))
+        shapes = [F.concat(F.lit("## باب "), w), F.concat(w, F.lit(": "), r), F.concat(F.lit("## "), w), a, F.concat(F.lit("قال: "), r), F.concat(w, F.lit("، "), F.substring_index(r, " ", 1), F.lit(": "), r)]
+        out = F.when((F.length(w) < 2) | (r == ""), "")
+        for k, shape in enumerate(shapes):
+            out = out.when(i % 6 == k, shape)
+        return out
 
-def lexicon_book(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("lexicon", k, k, page) for k, page in enumerate(LEXICON, 1)], books.PAGES)
+    listed = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("book_id"), F.transform(F.split("text", "\n", -1), _bare).alias("bare"))
+    return _paged(listed.select("book_id", F.transform("bare", built).alias("lines")))
 
 
 def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,8 +89,16 @@ def _cut(options: dict, source: Query = document_books) -> Query:
     return lambda spark, sf_dir: _flat(segment_pages(source(spark, sf_dir), options))
 
 
-def _cleaned(column: Callable, table: str = "documents") -> Query:
-    return lambda spark, sf_dir: _table(spark, sf_dir, table).where("text is not null").select("doc_id", column(F.col("text")).alias("content"))
+def _with(pairs: tuple) -> Column:
+    """The documents' text with what the tables lack put in."""
+    out = F.col("text")
+    for a, b in pairs:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def _cleaned(column: Callable, dirt: tuple = ()) -> Query:
+    return lambda spark, sf_dir: _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", _with(dirt).alias("text")).select("doc_id", column(F.col("text")).alias("content"))
 
 
 def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -151,13 +178,22 @@ def _rule_issues(spark: SparkSession, _: str) -> DataFrame:
     return _rows(spark, [(k, r) for k, r in enumerate(tooling.format_report(tooling.validate_rules(rules)))], "place int, issue string")
 
 
-def _headings(spark: SparkSession, _: str) -> DataFrame:
-    heads = ["## باب الجيم", "## كلمة", "## س", "## قال بعضهم في هذا كلاما", "##"]
-    return _rows(spark, [(h, lexicon.classify_heading(h)) for h in heads], "heading string, kind string")
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the headings made from lines, in five shapes, are of each kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([lexicon.classify_heading(h) for h in batch.column(0).to_pylist()], pa.string())], ["kind"])
+
+    lines = _table(spark, sf_dir, "documents").where("text is not null").select(F.posexplode(F.transform(F.split("text", "\n", -1), _bare)).alias("n", "a"))
+    w = F.substring_index("a", " ", 1)
+    some = lines.where((F.length(w) >= 2) & (F.length("a") > F.length(w) + 1)).select("n", w.alias("w"))
+    shapes = F.array(F.concat(F.lit("## باب "), "w"), F.concat(F.lit("## "), "w"), F.concat(F.lit("## ["), F.array_join(F.split("w", ""), " "), F.lit("]")), F.concat(F.lit("## قال "), F.array_join(F.array_repeat("w", 4), " ")), F.concat(F.lit("## "), "w", F.lit("، "), "w", F.lit(" غيرها: مهملة")))
+    return some.select(F.get(shapes, F.col("n") % 5).alias("heading")).mapInArrow(run, "kind string").groupBy("kind").agg(F.count(F.lit(1)).alias("headings"))
 
 
 def _diagnosed(facet: str) -> Query:
-    return lambda spark, _: lexicon.diagnose(lexicon_book(spark), PROFILE)[facet]
+    return lambda spark, sf_dir: lexicon.diagnose(lexicon_books(spark, sf_dir), PROFILE)[facet]
 
 
 def _advised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +202,8 @@ def _advised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, rows, "place int, source string, confidence string, pattern string, count long, mode string")
 
 
-def _normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.normalize_for_comparison("text").alias("content"))
+def _detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.page_detections(whole_documents(spark, sf_dir).withColumnRenamed("content", "text").withColumn("content", _with(oracles.DIRT)))
 
 
 GUARDED = {"lineStartsWith": ["The ", "Of "], "pageStartGuard": "{{tarqim}}"}
@@ -186,20 +222,20 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     "split_page_guard": (_cut({"rules": [GUARDED]}), oracles.split(oracles.guarded_hits("^(?:The |Of )"))),
     "split_newline_joiner": (_cut({"rules": [{"lineStartsWith": list(STARTS)}], "pageJoiner": "newline"}), oracles.split(oracles.line_hits(f"^(?:{ANY_START})"), joiner="chr(10)")),
     "split_two_rules": (_cut({"rules": [{"lineStartsWith": ["The "], "meta": {"kind": "a"}}, {"lineStartsWith": ["Of "], "meta": {"kind": "b"}}]}), oracles.split(oracles.line_hits("^(?:The |Of )", meta="""CASE WHEN line LIKE 'The %' THEN '{"kind":"a"}' ELSE '{"kind":"b"}' END"""))),
-    "split_fuzzy_entries": (_cut({"rules": [{"lineStartsAfter": ["{{bab}} "], "meta": {"type": "chapter"}}, {"dictionaryEntry": {"stopWords": ["قال"]}}]}, lambda spark, _: lexicon_book(spark)), None),
+    "split_fuzzy_entries": (_cut({"rules": [{"lineStartsAfter": ["## {{bab}} "], "meta": {"type": "chapter"}}, {"dictionaryEntry": {"stopWords": ["قال"]}}]}, lexicon_books), oracles.fuzzy_entries()),
     # breakpoints
     "break_single_pages": (_cut({"maxPages": 0, "breakpoints": [""]}, chat_books), oracles.page_breaks(0)),
     "break_one_page_on": (_cut({"maxPages": 1, "breakpoints": [""]}, chat_books), oracles.page_breaks(1)),
     "break_punctuation": (_cut({"maxPages": 1, "breakpoints": ["{{tarqim}}\\s*", ""]}), None),
-    "break_shorter": (_cut({"maxPages": 0, "breakpoints": ["{{tarqim}}"], "prefer": "shorter"}), None),
+    "break_shorter": (_cut({"maxPages": 0, "breakpoints": ["{{tarqim}}"], "prefer": "shorter"}), oracles.shorter_breaks()),
     "break_words": (_cut({"maxPages": 1, "breakpoints": [{"words": ["the ", "de ", "und "]}]}), None),
     "break_length": (_cut({"maxContentLength": 500, "breakpoints": ["{{tarqim}}", "{{newline}}", ""]}), None),
     # projections and sources
-    "clean_zero_width": (_cleaned(text.remove_zero_width), oracles.preprocessed(r"regexp_replace(text, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')")),
-    "clean_ellipsis": (_cleaned(text.condense_ellipsis), oracles.preprocessed("regexp_replace(text, '[.]{2,}', '…', 'g')")),
-    "clean_waw": (_cleaned(text.fix_trailing_waw), oracles.preprocessed("replace(text, ' و ', ' و')")),
+    "clean_zero_width": (_cleaned(text.remove_zero_width, oracles.DIRT), oracles.preprocessed(r"regexp_replace(text, '[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]', '', 'g')", oracles.DIRT)),
+    "clean_ellipsis": (_cleaned(text.condense_ellipsis, oracles.DIRT), oracles.preprocessed("regexp_replace(text, '[.]{2,}', '…', 'g')", oracles.DIRT)),
+    "clean_waw": (_cleaned(text.fix_trailing_waw, oracles.DIRT), oracles.preprocessed("replace(text, ' و ', ' و')", oracles.DIRT)),
     "collapse_whitespace": (_cleaned(text.collapse_whitespace), oracles.preprocessed(oracles._trim(f"regexp_replace(text, '{oracles.SPACE}+', ' ', 'g')"))),
-    "normalize_for_comparison": (_normalized, oracles.preprocessed(oracles._trim(f"regexp_replace(regexp_replace(nfc_normalize(text), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{oracles.SPACE}+', ' ', 'g')"))),
+    "normalize_for_comparison": (_cleaned(text.normalize_for_comparison, oracles.MARKED), oracles.preprocessed("translate(regexp_replace(" + oracles._trim(f"regexp_replace(regexp_replace(nfc_normalize(text), '[\\x{{200C}}\\x{{200D}}]', '', 'g'), '{oracles.SPACE}+', ' ', 'g')") + r", '[\x{0610}-\x{061A}\x{0640}\x{064B}-\x{065F}\x{0670}\x{06D6}-\x{06ED}]', '', 'g'), 'آأإةى', 'اااهي')", oracles.MARKED)),
     "html_text": (lambda spark, sf_dir: _table(spark, sf_dir, "pages").where("html is not null").select("page_id", text.strip_html("html").alias("content")), oracles.html_text()),
     "page_offsets": (_offsets, f"WITH {oracles.CHATS} SELECT book_id, page_seq, page_id, CAST(start AS BIGINT) AS start, size FROM starts"),
     "page_lines": (_line_rows, f"WITH {oracles.PAGES} SELECT book_id, page_seq, line_no, CAST(local AS BIGINT) AS local, line FROM lines"),
@@ -207,22 +243,22 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     "book_problems": (_book_problems, f"WITH {oracles.CHATS}, p AS (SELECT CASE WHEN page_id IS NULL OR page_id <= 0 THEN 'id_not_positive' WHEN count(*) OVER (PARTITION BY book_id, page_id) > 1 THEN 'duplicate_id' WHEN content = '' THEN 'empty_content' END AS problem FROM pages) SELECT problem, count(*) AS count FROM p WHERE problem IS NOT NULL GROUP BY problem"),
     # detection and mining
     "detect_tokens": (lambda spark, sf_dir: detect.token_counts(whole_documents(spark, sf_dir)), oracles.token_counts()),
-    "suggest_rules": (_suggested, None),
-    "preprocess_detections": (lambda spark, sf_dir: detect.page_detections(whole_documents(spark, sf_dir)), oracles.detections()),
+    "suggest_rules": (_suggested, oracles.suggested()),
+    "preprocess_detections": (_detections, oracles.detections()),
     "common_line_starts": (_line_starts, oracles.line_starts(40, 3)),
     "repeating_sequences": (_sequences, oracles.sequences(20, 3)),
     # validation and advice
     "validate_segments": (_validated, oracles.no_issues(oracles.split(oracles.line_hits(f"^(?:{ANY_START})")))),
     "validate_damaged": (_damaged, oracles.damaged()),
-    "score_candidates": (_scored, None),
+    "score_candidates": (_scored, oracles.scored(f"^(?:{ANY_START})")),
     "advise_options": (_advised, None),
     # lexicon
-    "lexicon_segments": (_cut({"dictionary": PROFILE}, lambda spark, _: lexicon_book(spark)), None),
-    "lexicon_surface": (lambda spark, _: lexicon.surface_counts(lexicon_book(spark)), None),
-    "lexicon_totals": (_diagnosed("totals"), None),
-    "lexicon_by_kind": (_diagnosed("by_kind"), None),
-    "lexicon_by_reason": (_diagnosed("by_reason"), None),
-    "heading_classes": (_headings, None),
+    "lexicon_segments": (_cut({"dictionary": PROFILE}, lexicon_books), oracles.lexicon_segments()),
+    "lexicon_surface": (lambda spark, sf_dir: lexicon.surface_counts(lexicon_books(spark, sf_dir)), oracles.lexicon_surface()),
+    "lexicon_totals": (_diagnosed("totals"), oracles.lexicon_counts("count(*) FILTER (kind IN (0, 1, 2)) AS accepted, count(*) FILTER (kind = 4) AS rejected")),
+    "lexicon_by_kind": (_diagnosed("by_kind"), oracles.lexicon_counts("CASE kind WHEN 0 THEN 'chapter' ELSE 'entry' END AS kind, count(*) FILTER (kind <> 4) AS accepted, count(*) FILTER (kind = 4) AS rejected", "WHERE kind IN (0, 1, 2, 4) GROUP BY 1")),
+    "lexicon_by_reason": (_diagnosed("by_reason"), oracles.lexicon_counts("'stopLemma' AS reason, count(*) AS count", "WHERE kind = 4 HAVING count(*) > 0")),
+    "heading_classes": (_headings, oracles.heading_kinds()),
     # configuration
     "expand_templates": (_templates, None),
     "optimize_rules": (_optimized, None),

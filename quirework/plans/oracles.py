@@ -13,6 +13,14 @@ starts AS (SELECT book_id, page_seq, page_id, length(content) AS size, CAST(sum(
 CHATS = """
 pages AS (SELECT CAST(conv_id AS VARCHAR) AS book_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS page_seq, turn AS page_id, coalesce(text, '') AS content FROM conversations),
 starts AS (SELECT book_id, page_seq, page_id, length(content) AS size, CAST(sum(length(content) + 1) OVER (PARTITION BY book_id ORDER BY page_seq) AS BIGINT) - length(content) - 1 AS start FROM pages)"""
+#: Documents in Arabic letters, line by line of one of six kinds: chapter heading, entry, entry heading, prose, remark, paired forms.
+LATIN, ARABIC = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "سصضطظذزخغجدرمكتلحسصضطظذزخغ" * 2
+LEXICON_LINES = f"""
+bare_lines AS (SELECT book_id, n, trim(regexp_replace(translate(regexp_replace(line, '[^a-zA-Z ]', '', 'g'), '{LATIN}', '{ARABIC}'), ' +', ' ', 'g')) AS a FROM raw_documents),
+word_lines AS (SELECT *, split_part(a, ' ', 1) AS w, substring(a, length(split_part(a, ' ', 1)) + 2) AS r FROM bare_lines),
+kind_lines AS (SELECT *, CASE WHEN length(w) < 2 OR r = '' THEN -1 ELSE n % 6 END AS kind FROM word_lines),
+raw_lines AS (SELECT book_id, n, w, kind, CASE kind WHEN -1 THEN '' WHEN 0 THEN '## باب ' || w WHEN 1 THEN w || ': ' || r WHEN 2 THEN '## ' || w WHEN 3 THEN a WHEN 4 THEN 'قال: ' || r ELSE w || '، ' || split_part(r, ' ', 1) || ': ' || r END AS line FROM kind_lines)"""
+LEXICON_PAGES = PAGES.replace("raw_lines AS", "raw_documents AS", 1).replace("pages AS", f"{LEXICON_LINES.strip()},\npages AS", 1).replace("AS line_no, line,", "AS line_no, line, w, kind,")
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x0B]"
 
 
@@ -46,8 +54,22 @@ def nth_hit(hits: str, order: str) -> str:
     return f"SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY page_seq {order}, local {order}) AS nth FROM ({hits})) WHERE nth = 1"
 
 
-def preprocessed(expression: str) -> str:
-    return f"SELECT doc_id, {expression} AS content FROM documents WHERE text IS NOT NULL"
+#: What hides in scanned pages, put into the texts: invisible marks, runs of full stops, a waw apart from its word.
+DIRT = (("e ", "e\u200b "), (". ", "... "), (" a ", " \u0648 \u0627"), ("-", "\u200f-"))
+#: Letters with marks and variants, joiners and odd spaces.
+MARKED = (("o", "\u0623\u064f"), ("s ", "\u0629 "), ("y", "\u0649"), ("n", "\u0646\u200d"), ("d ", "d\u00a0 "), ("u", "u\u0308"))
+
+
+def replaced(pairs: tuple) -> str:
+    out = "text"
+    for a, b in pairs:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def preprocessed(expression: str, dirt: tuple = ()) -> str:
+    source = f"(SELECT doc_id, {replaced(dirt)} AS text FROM documents)" if dirt else "documents"
+    return f"SELECT doc_id, {expression} AS content FROM {source} WHERE text IS NOT NULL"
 
 
 STRIP = [
@@ -74,7 +96,7 @@ def token_counts() -> str:
 
 def detections() -> str:
     count = lambda p: f"CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT)"
-    return f"SELECT {count(r'[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{061C}]')} AS zero_width, {count(r'[.]{3,}')} AS ellipses, {count(r'\s\x{0648}\s+[\x{0600}-\x{06FF}]')} AS spaced_waw FROM documents"
+    return f"SELECT {count(r'[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{061C}]')} AS zero_width, {count(r'[.]{3,}')} AS ellipses, {count(r'\s\x{0648}\s+[\x{0600}-\x{06FF}]')} AS spaced_waw FROM (SELECT {replaced(DIRT)} AS text FROM documents)"
 
 
 WORDS = r"[\-–—ـ]|[•*°]|[.!?؟؛]|[:：،()\[\]{}]|[^\s:：\-–—ـ،؛.?!؟()\[\]{}]+"
@@ -164,3 +186,64 @@ bad AS (SELECT book_id, seg_seq,
   CASE WHEN kind = 2 THEN -5 WHEN kind = 6 AND after IS NOT NULL THEN after ELSE from_id END AS from_id,
   CASE WHEN kind = 5 THEN coalesce(after, -7) ELSE to_id END AS to_id FROM led), {JUDGED.format(glue="' '", max_pages=0)}
 SELECT book_id, seg_seq, type, from_id, to_id, CAST(found_id AS BIGINT) AS found_id, actual_to FROM issues"""
+
+
+def suggested() -> str:
+    """Latin lines hold tokens of no kind that names a rule."""
+    return r"SELECT 'lineStartsAfter' AS pattern_type, CAST(NULL AS VARCHAR) AS meta_type, count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '[.!?؟؛•*°\-–—ـ0-9]|_{5}|={5}') HAVING count(*) > 0"
+
+
+def shorter_breaks() -> str:
+    """Pages of documents cut after each closing mark; a book's last page stays whole."""
+    return f"""
+WITH {PAGES},
+ends AS (SELECT *, max(page_id) OVER (PARTITION BY book_id) AS last_id FROM pages),
+listed AS (SELECT *, CASE WHEN page_id = last_id THEN [content] ELSE regexp_extract_all(content, '[^.!?؟؛]*[.!?؟؛]|[^.!?؟؛]+') END AS xs FROM ends),
+cut AS (SELECT book_id, page_id, unnest(range(len(xs))) AS k, unnest(xs) AS x FROM listed),
+trimmed AS (SELECT book_id, page_id, k, {_trim("x")} AS content FROM cut)
+SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY page_id, k) AS seg_seq, content, page_id AS from_id, CAST(NULL AS BIGINT) AS to_id, '{{}}' AS meta FROM trimmed WHERE content <> ''"""
+
+
+CHAT_LINES = f"""{CHATS},
+chat_lines AS (SELECT book_id, page_seq, page_id, unnest(string_split(content, chr(10))) AS line, unnest(range(len(string_split(content, chr(10))))) AS line_no FROM pages),
+lines AS (SELECT *, CAST(sum(length(line) + 1) OVER (PARTITION BY book_id, page_seq ORDER BY line_no) AS BIGINT) - length(line) - 1 AS local FROM chat_lines)"""
+
+
+def scored(pattern: str) -> str:
+    """A rule for line starts, single pages, and options that are wrong."""
+    judged = lambda segments, most: f"""(WITH bad AS ({segments}), {CHATS}, {JUDGED.format(glue="' '", max_pages=most)}
+      SELECT (SELECT count(*) FROM bad) AS segment_count, (SELECT coalesce(max(length(content)), 0) FROM bad) AS max_length, (SELECT count(*) FROM bad WHERE to_id <> from_id) AS multi_page, (SELECT count(*) FROM issues) AS issues)"""
+    rule = judged(split(line_hits(pattern), pages=CHAT_LINES), 1 << 40)
+    pages = judged(page_breaks(0), 0)
+    return f"""
+WITH c AS (SELECT 0 AS index, * FROM {rule} UNION ALL SELECT 1, * FROM {pages}),
+s AS (SELECT index, CAST(least(segment_count, 200) - 100 * issues - 5 * multi_page - max_length // 500 AS DOUBLE) AS score, segment_count, CAST(max_length AS INT) AS max_length, multi_page, issues FROM c
+  UNION ALL SELECT 2, CAST('-inf' AS DOUBLE), NULL, NULL, NULL, NULL)
+SELECT *, index = (SELECT index FROM s ORDER BY score DESC, index LIMIT 1) AS best FROM s"""
+
+
+def lexicon_segments() -> str:
+    meta = """CASE WHEN kind = 0 THEN '{"kind":"chapter"}' ELSE '{"kind":"entry","lemma":"' || w || '"}' END"""
+    return split(f"SELECT book_id, page_seq, local, CASE WHEN kind = 1 THEN 0 ELSE 3 END AS off, {meta} AS meta FROM lines WHERE kind IN (0, 1, 2)", pages=LEXICON_PAGES)
+
+
+def fuzzy_entries() -> str:
+    """Chapters without their heading word; entries of 2 to 10 letters."""
+    meta = """CASE WHEN kind = 0 THEN '{"type":"chapter"}' ELSE '{"lemma":"' || w || '"}' END"""
+    return split(f"SELECT book_id, page_seq, local, CASE WHEN kind = 0 THEN 7 ELSE 0 END AS off, {meta} AS meta FROM lines WHERE kind = 0 OR kind = 1 AND length(w) <= 10", pages=LEXICON_PAGES)
+
+
+def lexicon_counts(columns: str, rest: str = "") -> str:
+    return f"WITH {LEXICON_PAGES} SELECT {columns} FROM lines {rest}"
+
+
+def lexicon_surface() -> str:
+    names = {"chapter": "kind = 0", "entry": "kind = 2", "lineEntry": "kind IN (1, 4)", "pairedForms": "kind = 5"}
+    kinds = "chapter cluster codeLine entry inlineSubentry lineEntry marker noise pairedForms".split()
+    return f"WITH {LEXICON_PAGES} " + " UNION ALL ".join(f"SELECT '{k}' AS kind, count(*) FILTER ({names.get(k, 'false')}) AS count FROM lines" for k in kinds)
+
+
+def heading_kinds() -> str:
+    """Headings in five shapes, and what each is."""
+    return f"""WITH {LEXICON_PAGES}
+SELECT CASE n % 5 WHEN 0 THEN 'chapter' WHEN 2 THEN 'marker' WHEN 3 THEN 'noise' WHEN 4 THEN 'cluster' ELSE 'entry' END AS kind, count(*) AS headings FROM kind_lines WHERE kind >= 0 GROUP BY 1"""
