@@ -1,10 +1,10 @@
 """Line dedup: a suffix array over line-ID sequences, built by distributed prefix doubling.
 
 Every document is a sequence of line IDs (128-bit line hashes, which also give their order).  The rank of
-a suffix by ``h`` lines is its place in the suffix array so far: how many suffixes sort before it, equal
-ones sharing a rank.  The rank by ``2h`` lines comes from the pair (rank here, rank ``h`` lines further on),
-ordered by one range-partitioned running count over the distinct pairs, and a depth between two powers
-of two from two ranks that overlap.  Suffixes of equal rank by ``h`` lines are an interval of the suffix
+a suffix by ``h`` lines is its place in the suffix array so far: a number that is the larger the later it
+sorts, equal ones sharing it.  The rank by ``2h`` lines comes from the pair (rank here, rank ``h`` lines
+further on), the distinct pairs being sorted by ranges and numbered, and a depth between two powers of
+two from two ranks that overlap.  Suffixes of equal rank by ``h`` lines are an interval of the suffix
 array whose longest common prefix is ``h`` or more.  A suffix alone in its interval is discarded at once,
 so after the first round only repeated text is left; doubling goes on until all ranks are unique or all
 runs have ended.
@@ -23,8 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.layout import running_sums
-from .storage import checkpoint, fresh, running
+from .storage import checkpoint, fresh
 
 NO_ID = -(1 << 63)
 SUFFIX = ["did", "key", "pos"]
@@ -39,27 +38,36 @@ def _words(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """did, key, pos, before, after (words of the document before and after the line), depth (1), by1, by2 (the line's ID)."""
+    """did, key, pos, before (0), after (words of the line), depth (1), by1, by2 (the line's ID)."""
     per_doc = docs.where(F.col("text").isNotNull()).select(*_keys(), F.split("text", "\n", -1).alias("lines"))
-    words = F.transform("lines", _words)
-    zipped = F.arrays_zip(F.col("lines").alias("line"), words.alias("words"), running_sums(words).alias("before"))
-    item = lambda z: F.struct(z["before"].alias("before"), (z["before"] + z["words"]).alias("after"), F.lit(1).alias("depth"), F.xxhash64(z["line"]).alias("by1"), F.xxhash64(F.lit(1), z["line"]).alias("by2"))
-    return per_doc.select("did", "key", F.posexplode(F.transform(zipped, item)).alias("pos", "x")).select(*SUFFIX, "x.*")
+    lines = per_doc.select("did", "key", F.posexplode("lines").alias("pos", "line"))
+    return lines.select(*SUFFIX, F.lit(0).alias("before"), _words(F.col("line")).alias("after"), F.lit(1).alias("depth"), F.xxhash64("line").alias("by1"), F.xxhash64(F.lit(1), "line").alias("by2"))
 
 
 def _ranked(suffixes: DataFrame) -> DataFrame:
     """``suffixes`` by (depth, by1, by2): those that aren't alone, with ``rank`` and whether an earlier one is equal (``later``).
 
     Groups come from an aggregate with map-side combining and are joined back, so a line that a billion
-    documents have is one row there, and AQE may split its side of the join.
+    documents have is one row there, and AQE may split its side of the join.  Sorted by ranges they are
+    numbered in order; the numbers are written before they are used, so a lost executor can't change them.
     """
     by = ["depth", "by1", "by2"]
     groups = suffixes.groupBy(*by).agg(F.min(F.struct(*SUFFIX)).alias("head"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    ranks = running(groups, by, F.col("copies"), "rank").drop("copies")
+    ranks = checkpoint(groups.select(*by, "head").repartitionByRange(*by).sortWithinPartitions(*by).withColumn("rank", F.monotonically_increasing_id()))
     later = (F.struct(*SUFFIX) != F.col("head")).alias("later")
     return checkpoint(suffixes.join(ranks, by).select(*SUFFIX, "before", "after", "depth", "rank", later))
 
 
+def _counted(lines: DataFrame) -> DataFrame:
+    """Repeated lines, each once, with the words of those before and up to it in their document.
+
+    All lines of a repeated window are repeated, so its words are the difference of two such sums.
+    """
+    once = lines.repartition("did", "key").dropDuplicates(SUFFIX)
+    before = F.coalesce(F.sum("after").over(W.partitionBy("did", "key").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return once.withColumn("before", before.cast("int")).withColumn("after", F.col("before") + F.col("after"))
+
+
 def repeated_windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, least_words: int = 5) -> DataFrame:
     """did, key, pos, depth: windows of ``depth`` lines from ``pos`` that count and of which there is an earlier copy."""
     if min_lines < 1:
@@ -73,6 +81,8 @@ def repeated_windows(docs: DataFrame, min_lines: int = 3, min_words: int = 50, l
         state = found.where(F.col("depth") == size)
         if state.isEmpty():
             break
+        if size == 1:
+            state = _counted(state)
         order = W.partitionBy("did", "key").orderBy("pos")
         depths = [*range(size + 1, min(2 * size - 1, min_lines) + 1), 2 * size]
         ahead = [F.first(F.struct(F.lit(d).alias("depth"), F.col("rank").alias("by2"), F.col("after").alias("end"))).over(order.rangeBetween(d - size, d - size)) for d in depths]

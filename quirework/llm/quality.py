@@ -332,9 +332,20 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, bits:
         if len(set(y[use & ~held])) < 2:
             held[:] = False
         out.append(fit(table, np.nan_to_num(y), held, use, shares, bits))
+    del table
+    _give_back()
     return Models(*out)
 
 
+def _give_back() -> None:
+    """Let the allocator return what training has freed: the driver goes on for long after."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def score(docs: DataFrame, models: Models, names: tuple[str, str] = ("p_quality", "p_toxic"), bits: int = BITS) -> DataFrame:
     """``docs`` with two probabilities; null where there is no model or the text has no word.  Narrow."""
     columns = docs.columns

@@ -62,11 +62,16 @@ def normal_words(texts: pa.Array) -> Words:
 @lru_cache(maxsize=1)
 def word_pattern() -> re.Pattern:
     """Python's pattern for the runs that ``normal_words`` finds: characters whose folded form the same engine takes for word ones."""
-    codes = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c <= 0xDFFF]
-    word = np.asarray(pc.match_substring_regex(fold(pa.array(map(chr, codes), pa.string())), r"[\p{L}\p{M}\p{N}]"))
-    at = np.array(codes)[word]
-    ends = np.flatnonzero(np.diff(at) != 1)
-    ranges = zip([at[0], *at[ends + 1]], [*at[ends], at[-1]], strict=True)
+    ranges: list[list[int]] = []
+    for low in range(0, sys.maxunicode + 1, 1 << 12):  # a block at a time, to hold little
+        if 0xD800 <= low <= 0xDFFF:
+            continue
+        word = np.asarray(pc.match_substring_regex(fold(pa.array(map(chr, range(low, low + (1 << 12))), pa.string())), r"[\p{L}\p{M}\p{N}]"))
+        for c in (np.flatnonzero(word) + low).tolist():
+            if ranges and ranges[-1][1] == c - 1:
+                ranges[-1][1] = c
+            else:
+                ranges.append([c, c])
     return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
 
 
