@@ -63,10 +63,10 @@ def normal_words(texts: pa.Array) -> Words:
 def word_pattern() -> re.Pattern:
     """Python's pattern for the runs that ``normal_words`` finds: characters whose folded form the same engine takes for word ones."""
     ranges: list[list[int]] = []
-    for low in range(0, sys.maxunicode + 1, 1 << 12):  # a block at a time, to hold little
+    for low in range(0, sys.maxunicode + 1, 1 << 11):  # a block at a time, to hold little
         if 0xD800 <= low <= 0xDFFF:
-            continue
-        word = np.asarray(pc.match_substring_regex(fold(pa.array(map(chr, range(low, low + (1 << 12))), pa.string())), r"[\p{L}\p{M}\p{N}]"))
+            continue  # surrogates
+        word = np.asarray(pc.match_substring_regex(fold(pa.array(map(chr, range(low, low + (1 << 11))), pa.string())), r"[\p{L}\p{M}\p{N}]"))
         for c in (np.flatnonzero(word) + low).tolist():
             if ranges and ranges[-1][1] == c - 1:
                 ranges[-1][1] = c
