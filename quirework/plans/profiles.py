@@ -5,8 +5,13 @@ from __future__ import annotations
 import json
 from typing import Any
 
-#: Words before a colon that open remarks and not entries.
-STOP_WORDS = tuple("قال وقال يقال ويقال قيل وقيل قلت أي يعني قوله وقوله فقال الحديث قولهم منه ومنه".split())
+from ..operators.lexicon_words import AND, SO, each
+
+#: Words before a colon that open remarks and not entries: verbs of saying and explaining, particles, pronouns, names of parts.
+SAYING = "قال قالت قالوا يقول تقول نقول يقال قيل قلت قولهم قوله قولك قرأ قرئ أنشد روي روى حكى حكي زعم ذكر سئل أخبر حدث سمعت معناه معناها المعنى تفسيره تقديره".split()
+PARTICLES = "أي يعني أراد يريد منه منها فيه فيها به بها له لها عنه عليه هو هي هذا هذه ذلك تلك إذا إن أن ما لا أما كذا كذلك مثل مثله نحو نحوه غيره بعضهم غيرهم".split()
+PARTS = "الحديث حديث رواية آية شعر بيت مثال فائدة تنبيه مسألة جمعه جمعها واحده واحدها مصدره أصله أصلها جمع ضده لغة اللغة النسبة".split()
+STOP_WORDS = tuple(dict.fromkeys([*each(SO, SAYING), *each(SO, PARTICLES), *each(AND, PARTS)]))
 GUARDS: list[dict[str, Any]] = [{"use": "stopLemma", "words": list(STOP_WORDS)}, {"use": "intro"}, {"use": "authorityIntro"}, {"use": "pageContinuation"}]
 ENTRY = {"use": "lineEntry", "wrappers": "none", "allowWhitespaceBeforeColon": True}
 HEADINGS = [{"use": "heading", "classes": ["chapter"], "emit": "chapter"}, {"use": "heading", "classes": ["entry"], "emit": "entry"}]
