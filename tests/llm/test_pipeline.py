@@ -3,6 +3,7 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quirework.llm import queries as registry
@@ -44,6 +45,27 @@ def test_stage_by_stage(spark, sf_dir):
     assert whole == {i: t for i, t in steps["decontaminate"].items() if t}
 
 
+def test_stages_handle_odd_rows(spark, sf_dir, docs):
+    """Null ids and texts, empty and repeated rows, clashing and extra columns, an empty table: stage by stage."""
+    run = "\n".join(f"line {k} of a run that two documents share" for k in range(4))
+    rows = [(None, "a text of its own without an id"), (1, None), (2, ""), (3, run), (4, f"opening words here\n{run}"), (5, "x" * 50_000), (5, "x" * 50_000), (6, " \n")]
+    odd = docs(rows).withColumns({c: F.lit(c) for c in ("rank", "p_quality", "removed_spans", "id", "key", "gone", "qw_id")})
+    want = {"quality_rules": rows, "line_dedup": [r if r[0] != 4 else (4, "opening words here") for r in rows if r[0] != 6] + [rows[-1]]}
+    want["near_dedup"] = want["decontaminate"] = want["line_dedup"]
+    at = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf_dir)
+        assert at.columns == odd.columns
+        got = at.collect()
+        assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(want[name], key=str), name
+        assert all(r["rank"] == "rank" and (r["text"] is None or r["n_chars"] == len(r["text"])) for r in got)
+        at = spark.createDataFrame(got, odd.schema)
+        assert stage(spark, odd.limit(0), sf_dir).count() == 0
+    packed = corpus_pipeline.pack(spark, at, sf_dir).collect()
+    assert sorted({d for r in packed for d in r["doc_ids"]}, key=str) == sorted([None, 3, 4, 5, 6], key=str)
+    assert corpus_pipeline.pack(spark, odd.limit(0), sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()

@@ -1,10 +1,11 @@
 """The archive: exact round trips of records and files, one blob per payload, damage that shows."""
 
 import gzip
+import io
 
 from pyspark.sql import functions as F
 
-from quirework.llm.warc import END, archive, archived_pages, page_records, parse_records, read_warc, restore
+from quirework.llm.warc import END, archive, archived_pages, page_records, parse_records, read_archive, read_warc, restore, write_archive, write_warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -31,9 +32,25 @@ def test_files(spark, tmp_path):
     records = [(b"WARC/1.0\r\nContent-Length: 3\r\nX: 1\r\n\r\n", b"abc"), (b"WARC/1.0\r\ncontent-length: 0\r\n\r\n", b""), (b"WARC/1.0\r\nContent-Length: 4\r\n\r\n", b"\r\n\r\n")]
     plain = b"".join(h + p + END.encode() for h, p in records)
     zipped = b"".join(gzip.compress(h + p + END.encode()) for h, p in records)
-    assert list(parse_records(plain)) == records == list(parse_records(zipped))
+    assert list(parse_records(io.BytesIO(plain))) == records == list(parse_records(io.BytesIO(zipped)))
     (tmp_path / "a.warc").write_bytes(plain)
     (tmp_path / "b.warc.gz").write_bytes(zipped)
     got = read_warc(spark.read.format("binaryFile").load(str(tmp_path)))
     whole = restore(*archive(got))
     assert sorted(bytes(r["record"]) for r in whole.collect()) == sorted(2 * [h + p + END.encode() for h, p in records])
+
+
+def test_archive_folder_and_written_files(spark, tmp_path):
+    first = page_records(spark.createDataFrame([(1, "http://a/\r\nX: evil", "same"), (2, "http://b/", "same"), (3, None, "other")], PAGES))
+    second = page_records(spark.createDataFrame([(4, "http://c/", "same"), (5, "http://d/", "new")], PAGES))
+    folder = str(tmp_path / "archive")
+    write_archive(first, folder)
+    write_archive(second, folder)
+    assert spark.read.parquet(f"{folder}/blobs").count() == 3 and spark.read.parquet(f"{folder}/headers").count() == 5
+    whole = restore(*read_archive(spark, folder))
+    manifest = write_warc(whole, str(tmp_path / "files")).collect()
+    assert sum(r["records"] for r in manifest) == 5
+    back = read_warc(spark.createDataFrame([(r["file"],) for r in manifest], "path string")).collect()
+    assert sorted(bytes(r["header"]) + bytes(r["payload"]) for r in back) == sorted(bytes(r["header"]) + bytes(r["payload"]) for r in first.union(second).collect())
+    evil = next(bytes(r["header"]).decode() for r in back if b"/a/" in bytes(r["header"]))
+    assert "WARC-Target-URI: http://a/%0D%0AX: evil\r\n" in evil and "WARC-Date: " in evil
