@@ -251,7 +251,7 @@ _REGISTERED: dict[str, tuple[Query, str | None]] = {
     "validate_segments": (_validated, oracles.no_issues(oracles.split(oracles.line_hits(f"^(?:{ANY_START})")))),
     "validate_damaged": (_damaged, oracles.damaged()),
     "score_candidates": (_scored, oracles.scored(f"^(?:{ANY_START})")),
-    "advise_options": (_advised, None),
+    "advise_options": (_advised, oracles.advised(12, 8, 3)),
     # lexicon
     "lexicon_segments": (_cut({"dictionary": PROFILE}, lexicon_books), oracles.lexicon_segments()),
     "lexicon_surface": (lambda spark, sf_dir: lexicon.surface_counts(lexicon_books(spark, sf_dir)), oracles.lexicon_surface()),

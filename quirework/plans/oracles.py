@@ -247,3 +247,28 @@ def heading_kinds() -> str:
     """Headings in five shapes, and what each is."""
     return f"""WITH {LEXICON_PAGES}
 SELECT CASE n % 5 WHEN 0 THEN 'chapter' WHEN 2 THEN 'marker' WHEN 3 THEN 'noise' WHEN 4 THEN 'cluster' ELSE 'entry' END AS kind, count(*) AS headings FROM kind_lines WHERE kind >= 0 GROUP BY 1"""
+
+
+def advised(lines: int, sequences: int, least: int) -> str:
+    """The advice on Latin books: their lines open with words, and only sequences hold tokens."""
+    name = r"CASE WHEN x SIMILAR TO '[\-–—ـ]' THEN '{{dash}}' WHEN x SIMILAR TO '[•*°]' THEN '{{bullet}}' WHEN x SIMILAR TO '[.!?؟؛]' THEN '{{tarqim}}' ELSE regexp_replace(x, '([.*+?^${}|\\])', '\\\1', 'g') END"
+    token = lambda c: f"CASE WHEN {c} IN ('{{{{dash}}}}', '{{{{bullet}}}}', '{{{{tarqim}}}}') THEN 1 ELSE 0 END"
+    word = r"regexp_replace(regexp_extract(left(flat, 60), '^[^\s:،؛.?!؟]+'), '([.*+?^${}|\\])', '\\\1', 'g')"
+    flat = _trim(f"regexp_replace(line, '{SPACE}+', ' ', 'g')")
+    return f"""
+WITH {PAGES},
+w AS (SELECT {word} AS pattern FROM (SELECT {flat} AS flat FROM lines) WHERE length(flat) >= 6),
+openings AS (SELECT pattern, count(*) AS count FROM w WHERE pattern <> '' GROUP BY pattern HAVING count(*) >= {least} ORDER BY count DESC, length(pattern) DESC, pattern LIMIT {lines}),
+u AS (SELECT book_id, page_seq, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM (SELECT *, regexp_extract_all(content, '{WORDS}') AS xs FROM pages)),
+v AS (SELECT book_id, page_seq, i, {name} AS x FROM u),
+k AS (SELECT *, {token("x")} AS t, CASE WHEN {token("x")} = 1 THEN 0 ELSE length(x) END AS solid FROM v),
+g AS (SELECT *, lead(x) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(t) OVER p AS t2, lead(t, 2) OVER p AS t3, lead(solid) OVER p AS s2, lead(solid, 2) OVER p AS s3 FROM k WINDOW p AS (PARTITION BY book_id, page_seq ORDER BY i)),
+n AS (SELECT book_id, page_seq, i, 1 AS n, x AS pattern, t AS tokens, solid FROM g UNION ALL SELECT book_id, page_seq, i, 2, x || '\\s*' || x2, t + t2, solid + s2 FROM g WHERE x2 IS NOT NULL
+  UNION ALL SELECT book_id, page_seq, i, 3, x || '\\s*' || x2 || '\\s*' || x3, t + t2 + t3, solid + s2 + s3 FROM g WHERE x3 IS NOT NULL),
+s AS (SELECT pattern, count(*) AS count, min(tokens) AS tokens, min(solid) AS solid, min((book_id, page_seq, i, n)) AS seen FROM n WHERE tokens > 0 GROUP BY pattern ORDER BY seen LIMIT 1000),
+repeats AS (SELECT pattern, count FROM s WHERE count >= {least} ORDER BY count DESC, tokens DESC, solid DESC, seen LIMIT {sequences}),
+mode AS (SELECT CASE WHEN dense AND top_line >= greatest(2, top_repeat) THEN 'structured' WHEN NOT dense AND top_repeat > top_line THEN 'continuous' ELSE 'mixed' END AS mode FROM (
+  SELECT coalesce((SELECT max(count) FROM openings), 0) AS top_line, coalesce((SELECT max(count) FROM repeats), 0) AS top_repeat, (SELECT count(*) FROM lines) > (SELECT count(*) FROM pages) AS dense)),
+both_ AS (SELECT 'line-start' AS source, 'low' AS confidence, 1 AS rank, * FROM openings UNION ALL SELECT 'repeating-sequence', 'medium', 2, * FROM repeats),
+weighed AS (SELECT *, CASE WHEN source = 'line-start' THEN CASE mode WHEN 'continuous' THEN 1 ELSE 3 END ELSE CASE mode WHEN 'structured' THEN 1 WHEN 'continuous' THEN 3 ELSE 2 END END AS weight FROM both_, mode)
+SELECT CAST(row_number() OVER (ORDER BY weight DESC, rank DESC, count DESC, pattern) - 1 AS INT) AS place, source, confidence, pattern, count, mode FROM weighed"""
