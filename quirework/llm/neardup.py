@@ -1,20 +1,27 @@
-"""SimHash near-dedup by a binary-trie self-join.
+"""SimHash near-dedup by an exact Hamming self-join.
 
 Each document gets a fingerprint of ``TABLES`` independent SimHashes of ``BITS`` bits over its distinct
 normalised words.  Two documents are near duplicates if their whole fingerprints differ in at most
 ``MAX_BITS`` of ``TABLES * BITS`` bits, which is an angle of about 0.63 between the word sets (four
 fifths shared).
 
-Candidates agree on a key of ``agree`` runs of ``RUN`` bits of one table.  Rows are shuffled and sorted by
-key, and in each group that table's hashes form a binary trie that is joined with itself: pairs of nodes
-go down together, a pair of unlike children costs one bit, and a pair over ``BUDGET`` is dropped with
-everything below it.  One of two near duplicates' hashes differs in ``MAX_BITS // TABLES`` bits at most and
-``BUDGET`` is above that, so a pair is lost only if it meets under no key.  There are so many keys
-(``KEYS``) that a pair just at the threshold meets with a probability of 0.98, and closer ones with more.
-The keys are the same at every size: a group holds ``1 / 2**(RUN * AGREE)`` of the distinct fingerprints.
-
-Documents with equal fingerprints are one leaf, so thousands of copies cost as much as two, and clusters of
-near copies within a group are linked to a centre (``thinned``) and not pair by pair.  Groups of near
+``_all_pairs`` finds every such pair.  Fingerprints are dealt into blocks, and each pair of blocks is a cell
+that tasks compare.  There the bits are cut into parts with budgets that add up to ``MAX_BITS + 1``: a pair
+not under budget in any part differs in more than ``MAX_BITS`` bits, so a near one is under it in some part.
+What is more, the parts form a ring, and from one of them on every run of parts is under the run's budget
+(or runs over it would follow one another around the ring and add up to more than ``MAX_BITS``).  A part's
+values are few; each is compared with the rows of the values under budget only (with twenty parts an eighth of all
+pairs at random), and in one word that holds the parts that follow.  Work grows as the square of the
+distinct fingerprints.
+
+With ``agree`` above 0, candidates agree on a key of ``agree`` runs of ``RUN`` bits of one table instead.
+Rows are shuffled and sorted by key, and in each group that table's hashes form a binary trie that is joined
+with itself: pairs of nodes go down together, a pair of unlike children costs one bit, and a pair over
+``BUDGET`` is dropped with everything below it.  A pair just at the threshold meets under one of the ``KEYS``
+keys with a probability of 0.98 and is lost otherwise, so no query uses this.
+
+Documents with equal fingerprints are one node, so thousands of copies cost as much as two, and large clusters
+of near copies are linked to a centre (``thinned``) and not pair by pair.  Groups of near
 duplicates are the connected components of the pairs.  A task reports a spanning forest of its pairs, not
 all of them, so a group of a million near copies gives a million edges and not a trillion.
 """
@@ -23,7 +30,9 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +46,7 @@ TABLES, BITS, BUDGET = 6, 48, 12
 MAX_BITS = 60
 #: Bits of a run, and keys in each table by the number of runs in a key.
 RUN, KEYS = 2, (1, 2, 3, 4, 5, 7)
-#: Runs in a key; 0 compares all fingerprints as one group, which is exact.
+#: Runs in a key of the search by keys, which may lose pairs; 0 is the exact search.
 AGREE = 5
 #: What ``runs_of_bits`` picks for ``AGREE``, as it takes a while.
 PICKED = ((0, 1, 2, 3, 4), (5, 6, 7, 8, 9), (10, 11, 12, 13, 14), (15, 16, 17, 18, 19), (0, 20, 21, 22, 23), (1, 5, 10, 15, 20), (2, 6, 11, 16, 21))
@@ -50,6 +59,14 @@ LEAF_PAIRS = 1 << 16
 #: Of those, pairs of nodes with more leaf pairs than this are compared as one dense block each.
 DENSE = 1 << 9
 FRONTIER = 1 << 18
+#: Fingerprints in a block of the exact search, at most, and tasks that it makes of few cells.
+BLOCK, TASKS = 1 << 19, 24
+#: Numbers of parts to choose from.
+PARTS = (36, 28, 24, 20, 18)
+#: Rows of one value that are compared at a time, and pairs in a tile of them.
+ITEM, TILE = 1 << 6, 1 << 17
+#: Clusters of so many near copies are linked to a centre before a cell is compared.
+CLUSTER = 1 << 11
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -222,30 +239,34 @@ def _far(sig: list[np.ndarray], i: np.ndarray, j: np.ndarray | int) -> np.ndarra
     return sum(np.bitwise_count(s[i] ^ s[j]).astype(np.int64) for s in sig)
 
 
-def thinned(own: np.ndarray, sig: list[np.ndarray], at: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+def thinned(own: np.ndarray, sig: list[np.ndarray], at: np.ndarray, least: int = 64, doubts: bool = True) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """(what is left of ``at``, edges): dense clusters of a large group without comparing all their pairs.
 
     The value that most rows share is where a cluster is.  One of those rows is compared with all others; what
     is near it is linked to it and need not be compared again, not even with a row ``b`` that is left: by the
     triangle inequality only rows at least ``d(b) - MAX_BITS`` from the centre can be near ``b``, and these are
-    compared here.  So no component is lost, and ``n`` near copies take about ``n`` comparisons.
+    compared here.  So no component is lost, and ``n`` near copies take about ``n`` comparisons.  Clusters have
+    ``least`` rows or more; without ``doubts`` the comparisons with what is left are another task's.
     """
     edges: list[tuple[np.ndarray, np.ndarray]] = []
     while len(at) > DENSE_GROUP:
         starts = np.flatnonzero(np.diff(own[at], prepend=own[at[0]] - 1))
         runs = np.diff(np.append(starts, len(at)))
-        if runs.max() < 8:
+        if runs.max() < least // 8:
             break
         centre = at[starts[runs.argmax()]]
         far = _far(sig, at, centre)
         near = far <= MAX_BITS
         members, apart = at[near], far[near]
-        if len(members) < 64:
+        if len(members) < least:
             break
         edges.append((members, np.full(len(members), centre)))
+        if not doubts:
+            at = at[~near]
+            continue
         by = np.argsort(apart, kind="stable")
         members, apart = members[by], apart[by]
-        for b, d in zip(at[doubt := ~near & (far <= 2 * MAX_BITS)].tolist(), far[doubt].tolist(), strict=True):
+        for b, d in zip(at[doubt := ~near & (far <= MAX_BITS + apart[-1])].tolist(), far[doubt].tolist(), strict=True):
             some = members[np.searchsorted(apart, d - MAX_BITS) :]
             if len(hit := some[_far(sig, some, b) <= MAX_BITS]):
                 edges.append((hit[:1], np.array([b])))
@@ -283,8 +304,173 @@ def near_pairs(ids: np.ndarray, group: np.ndarray, own: np.ndarray, sig: list[np
     return _forest(np.concatenate(ea), np.concatenate(eb)) if ea else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+@cache
+def parts(cut: int) -> tuple[tuple[int, int, int, int, int], ...]:
+    """(first bit, width, budget, width of the run, budget of the run) of ``cut`` parts of a fingerprint.
+
+    A near pair differs in fewer bits than the budget in one part at least, and in the run of parts that starts
+    there and fills one word.  Budgets add up to ``MAX_BITS + 1``, each bit spent where it lets the fewest random
+    pairs through.
+    """
+    edges = [TABLES * BITS * k // cut for k in range(cut + 1)]
+    widths = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    budgets = [0] * cut
+    for _ in range(MAX_BITS + 1):
+        budgets[min(range(cut), key=lambda p: (comb(widths[p], budgets[p]) / 2 ** widths[p], p))] += 1
+    out = []
+    for p in range(cut):
+        run = [p]
+        while sum(widths[q] for q in run) + widths[(run[-1] + 1) % cut] <= 64:
+            run.append((run[-1] + 1) % cut)
+        out.append((edges[p], widths[p], budgets[p], sum(widths[q] for q in run), sum(budgets[q] for q in run)))
+    return tuple(out)
+
+
+def best_cut(na: int, nb: int) -> int:
+    """The number of parts that takes least time for ``na`` times ``nb`` rows; the result is the same with all."""
+
+    def seconds(cut: int) -> float:
+        share = sum(sum(comb(w, k) for k in range(e)) / 2**w for _, w, e, _, _ in parts(cut))
+        return 1.5e-9 * na * nb * share + 3e-5 * sum(min(1 << w, na) for _, w, *_ in parts(cut))
+
+    return min(PARTS, key=seconds)
+
+
+def _ring(words: list[np.ndarray]) -> list[np.ndarray]:
+    """The 288 bits and, after them, the first 96 again."""
+    half = np.uint64(32)
+    return [*words[:4], words[4] | words[0] << half, words[0] >> half | words[1] << half]
+
+
+def _field(ring: list[np.ndarray], first: int, width: int) -> np.ndarray:
+    """``width`` (64 at most) of the bits from ``first`` on."""
+    k, low = divmod(first, 64)
+    value = ring[k] >> np.uint64(low)
+    if low + width > 64:
+        value = value | ring[k + 1] << np.uint64(64 - low)
+    return value & np.uint64((1 << width) - 1)
+
+
+def close_pairs(words: list[np.ndarray], a: np.ndarray, b: np.ndarray | None, piece: int = 0, pieces: int = 1, cut: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs from ``a`` and ``b`` (or both from ``a``) whose 288 bits differ in at most ``MAX_BITS``; some come twice.
+
+    ``piece`` does its share of the work only; all ``pieces`` together find all pairs.
+    """
+    cut = best_cut(len(a), len(a if b is None else b)) if cut is None else cut
+    ring = _ring(words)
+    xor, count, near = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, bool)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def judged() -> tuple[np.ndarray, np.ndarray]:
+        i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        some = (i != j) & (_far(words, i, j) <= MAX_BITS)
+        return i[some], j[some]
+
+    waiting = 0
+    for p, (first, width, budget, length, most) in enumerate(parts(cut)):
+        value = _field(ring, first, width).astype(np.uint16)
+        run = _field(ring, first, length)
+        rows = a[np.argsort(value[a], kind="stable")]
+        others = rows if b is None else b[np.argsort(value[b], kind="stable")]
+        left, right = run[rows], run[others]
+        own = value[rows].astype(np.int64)
+        edge = np.searchsorted(value[others], np.arange((1 << width) + 1))
+        masks = np.flatnonzero(np.bitwise_count(np.arange(1 << width)) < budget)
+        # items: up to ITEM rows of one value
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        sizes = np.diff(np.append(heads, len(own)))
+        times = -(-sizes // ITEM)
+        starts = np.repeat(heads, times) + ITEM * (np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times))
+        ends = np.minimum(starts + ITEM, np.repeat(heads + sizes, times))
+        mine = slice((piece + p) % pieces, None, pieces)
+        for s, e in zip(starts[mine].tolist(), ends[mine].tolist(), strict=True):
+            value_s = own[s]
+            like = masks ^ value_s
+            if b is None:
+                like = like[like >= value_s]
+            low = edge[like]
+            size = edge[like + 1] - low
+            if b is None:  # the item's own value comes first, without the rows before the item
+                size[0] -= s - low[0]
+                low[0] = s
+            total = int(size.sum())
+            if not total:
+                continue
+            at = np.arange(total) + np.repeat(low - (np.cumsum(size) - size), size)
+            column = right[at]
+            step = TILE // (e - s)
+            for c in range(0, total, step):
+                d = min(step, total - c)
+                x, n, ok = (buffer[: (e - s) * d].reshape(e - s, d) for buffer in (xor, count, near))
+                np.bitwise_xor(left[s:e, None], column[None, c : c + d], out=x)
+                np.bitwise_count(x, out=n)
+                np.less(n, most, out=ok)
+                if len(hit := np.flatnonzero(ok)):
+                    held.append((rows[s + hit // d], others[at[c + hit % d]]))
+                    waiting += len(hit)
+                if waiting > 1 << 18:
+                    yield judged()
+                    waiting = 0
+    if held:
+        yield judged()
+
+
+def cell_edges(ids: np.ndarray, words: list[np.ndarray], second: np.ndarray, piece: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): a spanning forest of the near pairs between a cell's two blocks, or within its only one (no row is ``second``)."""
+    value = (words[0] & np.uint64((1 << BITS) - 1)).astype(np.int64)
+    at, edges = thinned(value, words, np.argsort(value, kind="stable"), CLUSTER, piece == 0)
+    ea, eb, held = [ids[x] for x, _ in edges], [ids[y] for _, y in edges], 0
+    if second.any():
+        a, b = at[~second[at]], at[second[at]]
+    else:
+        a, b = at, None
+    for i, j in close_pairs(words, a, b, piece, pieces) if len(a) and (b is None or len(b)) else ():
+        ea.append(ids[i])
+        eb.append(ids[j])
+        held += len(i)
+        if held > 1 << 20:
+            x, y = _forest(np.concatenate(ea), np.concatenate(eb))
+            ea, eb, held = [x], [y], len(x)
+    return _forest(np.concatenate(ea), np.concatenate(eb)) if ea else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _all_pairs(prints: DataFrame) -> DataFrame:
+    """(a, b): edges that connect all near duplicates among distinct fingerprints ``node``; a > b."""
+    rows = prints.count()
+    blocks = max(1, -(-rows // BLOCK))
+    cells = blocks * (blocks + 1) // 2
+    pieces = max(1, min(TASKS // cells, rows >> 10))
+    block = F.pmod(F.xxhash64("node"), F.lit(blocks))
+    high, low = F.greatest("block", "other"), F.least("block", "other")
+    task = (high * (high + 1) / 2).cast("long") + low
+    names = [f"w{k}" for k in range(4)]
+    spread = prints.select("node", *packed(), block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    spread = spread.select("node", *names, "w4", task.alias("cell"), (F.col("block") > F.col("other")).cast("long").alias("second"))
+    spread = spread.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(pieces - 1).cast("long"))).alias("piece"))
+    key = (F.col("cell") * pieces + F.col("piece")) * 2 + F.col("second")
+    spread = spread.select("node", *names, F.col("w4").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftleft(key, 32)).alias("w4"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches if batch.num_rows]
+        if not held:
+            return
+        ids, *words = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        key = words[4] >> 32
+        words = [w.view(np.uint64) for w in (*words[:4], words[4] & 0xFFFFFFFF)]
+        a, b = cell_edges(ids, words, key % 2 == 1, int(key[0]) // 2 % pieces, pieces)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    # a partition is one piece of one cell
+    return spread.repartitionById(cells * pieces, F.shiftright("w4", 33).cast("int")).mapInArrow(run, "a long, b long").distinct()
+
+
 def _search(prints: DataFrame, agree: int) -> DataFrame:
     """(a, b): edges that connect the near duplicates among distinct fingerprints ``node``; a > b."""
+    if not agree:
+        return _all_pairs(prints)
     choices = PICKED if agree == AGREE else picked_runs(agree)
     keys = []
     for t in range(TABLES):
@@ -354,7 +540,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
-def groups(docs: DataFrame, agree: int = AGREE) -> DataFrame:
+def groups(docs: DataFrame, agree: int = 0) -> DataFrame:
     """id, key, root, bits: each document with a near duplicate of lower id in its group, the group's lowest id, and in how many bits its fingerprint differs from that document's.
 
     The graph's nodes are distinct fingerprints, so texts that share a doc_id are judged apart.
@@ -371,9 +557,11 @@ def groups(docs: DataFrame, agree: int = AGREE) -> DataFrame:
     return signed.join(named, SIGS).where(F.col("id") > F.col("head")).select("id", "key", F.col("head").alias("root"), differ.cast("int").alias("bits"))
 
 
-def near_duplicates(docs: DataFrame, agree: int = AGREE) -> DataFrame:
+def near_duplicates(docs: DataFrame, agree: int = 0) -> DataFrame:
     """(doc_id_a, doc_id_b, bits): every near duplicate b with the document a that stays for its group.
 
+    No pair within ``MAX_BITS`` is left out, unless ``agree`` asks for the search by keys.
+
     Defined cases: documents with no word (null, empty, blank or punctuation-only texts) and null doc_ids
     have no duplicates; repeated rows are one document; rows that share a doc_id but not the text are each
     compared, never with each other, and may have a row for each of their groups (``bits`` is the least of a
@@ -383,7 +571,7 @@ def near_duplicates(docs: DataFrame, agree: int = AGREE) -> DataFrame:
     return groups(docs, agree).groupBy(F.col("root").alias("doc_id_a"), F.col("id").alias("doc_id_b")).agg(F.min("bits").alias("bits"))
 
 
-def drop_near_duplicates(docs: DataFrame, agree: int = AGREE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, agree: int = 0) -> DataFrame:
     """``docs`` without the rows that have a near duplicate of lower doc_id in their group; cases as above.
 
     Rows go by doc_id and text, so of each group the text of its lowest doc_id stays, also where doc_ids clash.

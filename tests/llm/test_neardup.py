@@ -197,3 +197,109 @@ def test_a_huge_group_of_near_copies_takes_linear_work():
     began = time.process_time()
     a, b = near_pairs(np.arange(n), np.zeros(n, np.int64), sig[0], sig)
     assert len(a) == n - 1 and (b == 0).all() and time.process_time() - began < 60
+
+
+def keyless_pairs():
+    """Rows of text pairs within MAX_BITS that agree on none of the keys of the search by keys."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    texts = []
+    for _ in range(1500):
+        base = [word() for _ in range(120)]
+        texts += [" ".join(base), " ".join(base[:98] + [word() for _ in range(22)])]
+    prints, _ = fingerprints(pa.array(texts))
+    unlike = prints[::2] ^ prints[1::2]
+    far = np.bitwise_count(unlike).sum(1)
+    met = np.zeros(len(unlike), bool)
+    for runs in neardup.PICKED:
+        mask = sum((1 << neardup.RUN) - 1 << run * neardup.RUN for run in runs)
+        met |= (unlike & mask == 0).any(1)
+    return [(i, texts[i]) for k in np.flatnonzero(~met & (far <= MAX_BITS)).tolist() for i in (2 * k, 2 * k + 1)]
+
+
+def test_pairs_that_agree_on_no_key_are_found(docs):
+    rows = keyless_pairs()
+    assert len(rows) >= 6
+    got = {(r["doc_id_a"], r["doc_id_b"]) for r in near_duplicates(docs(rows)).collect()}
+    assert got == {(i, i + 1) for i, _ in rows[::2]}
+    assert [r["doc_id"] for r in drop_near_duplicates(docs(rows)).orderBy("doc_id").collect()] == [i for i, _ in rows[::2]]
+
+
+def test_parts_let_every_near_pair_through():
+    rng = np.random.default_rng(2)
+    for cut in neardup.PARTS:
+        parts = neardup.parts(cut)
+        assert sum(e for _, _, e, _, _ in parts) == MAX_BITS + 1 and all(w <= 16 and w <= length <= 64 for _, w, _, length, _ in parts)
+        assert [b for f, w, *_ in parts for b in range(f, f + w)] == list(range(TABLES * BITS))
+        for _ in range(500):
+            unlike = np.zeros(TABLES * BITS, int)
+            unlike[rng.choice(rng.permutation(TABLES * BITS)[: rng.integers(MAX_BITS, TABLES * BITS + 1)], MAX_BITS, replace=False)] = 1
+            around = np.tile(unlike, 2)
+            assert any(around[f : f + w].sum() < e and around[f : f + length].sum() < most for f, w, e, length, most in parts)
+
+
+def some_words(rng, n):
+    """Random fingerprints as five words, half of them others with 40 to 75 bits flipped."""
+    bits = rng.random((n, TABLES * BITS)) < 0.5
+    for i in range(n // 2, n):
+        bits[i] = bits[i - n // 2]
+        bits[i, rng.choice(TABLES * BITS, rng.integers(40, 76), replace=False)] ^= True
+    whole = np.zeros((n, 320), bool)
+    whole[:, : TABLES * BITS] = bits
+    return list(np.packbits(whole, axis=1, bitorder="little").view(np.uint64).T.copy())
+
+
+def test_close_pairs_are_all_pairs():
+    n = 1000
+    words = some_words(np.random.default_rng(8), n)
+    far = sum(np.bitwise_count(w[:, None] ^ w[None]).astype(np.int64) for w in words)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(far <= MAX_BITS), strict=True) if i < j}
+    assert any(far[p] == MAX_BITS for p in want) and (far == MAX_BITS + 1).any() and 200 < len(want) < 500
+    every, odd = np.arange(n), np.random.default_rng(9).random(n) < 0.4
+    for cut in (*neardup.PARTS, None):
+        for a, b in ((every, None), (every[odd], every[~odd])):
+            got = {(min(x), max(x)) for piece in range(3) for i, j in neardup.close_pairs(words, a, b, piece, 3, cut) for x in zip(i.tolist(), j.tolist(), strict=True)}
+            assert got == {p for p in want if b is None or odd[p[0]] != odd[p[1]]}
+
+
+def test_cells_of_dense_clusters_keep_their_components(monkeypatch):
+    monkeypatch.setattr(neardup, "CLUSTER", 64)
+    rng = np.random.default_rng(5)
+    bases = [rng.integers(0, 1 << BITS, TABLES) for _ in range(3)]
+    bases.append(np.array([s[0] for s in flipped(rng, bases[0], 1, 80)]))
+    parts = [flipped(rng, b, n, bits) for b, n, bits in zip(bases, (1800, 900, 300, 300), (20, 45, 60, 30), strict=True)]
+    bits = np.concatenate([np.stack([np.concatenate([p[t] for p in parts]) for t in range(TABLES)], 1)])
+    flat = (bits[:, :, None] >> np.arange(BITS) & 1).reshape(len(bits), -1).astype(bool)
+    flat = np.unique(flat, axis=0)
+    n = len(flat)
+    whole = np.zeros((n, 320), bool)
+    whole[:, : TABLES * BITS] = flat
+    words = list(np.packbits(whole, axis=1, bitorder="little").view(np.uint64).T.copy())
+    assert n > DENSE_GROUP
+    i, j = np.triu_indices(n, 1)
+    near = sum(np.bitwise_count(w[i] ^ w[j]).astype(np.int64) for w in words) <= MAX_BITS
+    want = components_of(n, i[near], j[near])
+    block = rng.random(n) < 0.5
+    found = [neardup.cell_edges(np.arange(n), words, np.zeros(n, bool), piece, 2) for piece in range(2)]
+    assert components_of(n, *(np.concatenate(x) for x in zip(*found, strict=True))) == want
+    cells = [(block, np.zeros(n, bool)), (~block, np.zeros(n, bool)), (np.ones(n, bool), block)]
+    found = []
+    for rows, second in cells:
+        ids = np.flatnonzero(rows)
+        found += [neardup.cell_edges(ids, [w[ids] for w in words], second[ids], piece, 2) for piece in range(2)]
+    assert components_of(n, *(np.concatenate(x) for x in zip(*found, strict=True))) == want
+
+
+def test_blocks_and_pieces_give_the_same_groups(spark, monkeypatch):
+    n = 2100
+    words = some_words(np.random.default_rng(10), n)
+    whole = np.unpackbits(np.stack(words, 1).view(np.uint8), axis=1, bitorder="little")[:, : TABLES * BITS]
+    sig = whole.reshape(n, TABLES, BITS).astype(np.int64) @ (np.int64(1) << np.arange(BITS))
+    i, j = np.triu_indices(n, 1)
+    near = np.bitwise_count(sig[i] ^ sig[j]).sum(1, dtype=np.int64) <= MAX_BITS
+    want = components_of(n, i[near], j[near])
+    prints = spark.createDataFrame([(k, *row) for k, row in enumerate(sig.tolist())], ", ".join(f"{c} long" for c in ["node", *neardup.SIGS])).repartition(5)
+    for block in (n, 1100, 500):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        edges = [(r["a"], r["b"]) for r in neardup._search(prints, 0).collect()]
+        assert components_of(n, *(np.array(x) for x in zip(*edges, strict=True))) == want
