@@ -11,7 +11,7 @@ from quirework.llm import tokens
 
 from .test_decontam import SuffixAutomaton, tokens_of
 from .test_linededup import brute as line_brute
-from .test_neardup import brute_groups
+from .test_neardup import brute_groups, keyless_pairs
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -66,6 +66,15 @@ def test_stages_handle_odd_rows(spark, sf_dir, docs):
     assert corpus_pipeline.pack(spark, odd.limit(0), sf_dir).count() == 0
 
 
+def test_near_dedup_leaves_no_near_pair(spark, sf_dir, docs):
+    """Also of pairs that agree on none of the keys which the stage once compared by."""
+    rows = keyless_pairs() + [(None, "a text of its own without an id"), (100_000, "another text that is like none of them")]
+    gone = brute_groups([r for r in rows if r[0] is not None])
+    assert len(gone) >= 3
+    left = corpus_pipeline.near_dedup(spark, docs(rows), sf_dir).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in left) == sorted((i is None, i, t) for i, t in rows if i not in gone)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
