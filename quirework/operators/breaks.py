@@ -6,13 +6,15 @@ never searched for in the text.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
 from ..functions.dialect import SPACE, compile_python
+from ..functions.text import SPACES
 from ..plans.config import Options
 
 LOOK_BACK = 100
+UNLIMITED = 1 << 62
 JOINERS = "‌‍"
 
 
@@ -45,56 +47,56 @@ class Breaker:
 
         self.o = options
         self.space = regex.compile(f"[{SPACE}]+")
-        self.strip = regex.compile(rf"\A[{SPACE}]+|[{SPACE}]+\Z")
         self.stop = regex.compile(rf"[{SPACE}.,;!?؛،۔۝۞]")
         self.patterns = [None if b.source() is None else compile_python(b.source()) for b in options.breakpoints]
         self.skips = [compile_python(b.skip_when).regex if b.skip_when else None for b in options.breakpoints]
-        self.pages = options.max_pages if options.max_pages is not None else 1 << 62
+        self.pages = options.max_pages if options.max_pages is not None else UNLIMITED
+        self.excludes = any(b.exclude for b in options.breakpoints)
         self.most = options.max_content_length
 
     def excluded(self, page_id: int) -> bool:
         return any(b.excludes(page_id) for b in self.o.breakpoints)
 
-    def fits(self, ids: list[int], size: int) -> bool:
-        return ids[-1] - ids[0] <= self.pages and (self.most is None or size <= self.most) and not any(map(self.excluded, ids))
-
     def pieces(self, ids: list[int], texts: list[str]) -> list[Piece]:
-        """Pieces in order; ``first`` and ``last`` index the pages they lie on."""
+        """Pieces in order; ``first`` and ``last`` index the pages they lie on.
+
+        No step copies or looks at more of the text or the pages than its own piece may span.
+        """
         raw = "\n".join(texts)
-        text = self.strip.sub("", raw)
+        text = raw.strip(SPACES)
         lead = raw.find(text) if text else 0
         starts, at = [], -lead
         for t in texts:
-            starts.append(max(0, at))
+            starts.append(min(max(0, at), len(text)))  # blank pages at the end begin where the text ends
             at += len(t) + 1
         bounds = [*starts, len(text)]
         out: list[Piece] = []
         cursor, last_break, last = 0, (None, None), len(ids) - 1
+        stops = [k for k, i in enumerate(ids) if self.excluded(i)] if self.excludes else []
         while cursor < len(text):
-            page = self._page(starts, cursor)
-            rest = text[cursor:]
-            if self.fits(ids[page:], len(rest)):
+            page, left = self._page(starts, cursor), len(text) - cursor
+            if ids[last] - ids[page] <= self.pages and (self.most is None or left <= self.most) and not (stops and stops[-1] >= page):
                 self._emit(out, text, starts, cursor, len(text), last_break, None)
                 break
             page_end = bounds[page + 1] - cursor
             if self.pages == 0 and self.most and page < last:
-                own = self.strip.sub("", rest[:page_end])
+                own = text[cursor : cursor + page_end].strip(SPACES)
                 if own and len(own) <= self.most and not self.excluded(ids[page]):
                     boundary = next((i for i, p in enumerate(self.patterns) if p is None), last_break[0])
                     last_break = (boundary, None)
                     self._emit(out, text, starts, cursor, cursor + page_end, last_break, None)
                     cursor = self._skip(text, cursor + page_end)
                     continue
-            window = page
+            window = last if self.pages == UNLIMITED else page
             while window < last and ids[window + 1] <= ids[page] + self.pages:
                 window += 1
             width = page_end if self.pages == 0 else bounds[window + 1] - cursor
-            width = min(width, self.most or width, len(rest))
-            size, index, word, reason = self._find(ids, bounds, rest, cursor, page, window, last, width)
+            width = min(width, self.most or width, left)
+            size, index, word, reason = self._find(ids, bounds, text, cursor, page, window, last, width, stops)
             if index is not None:
                 last_break = (index, word)
             if size <= 0:
-                size = max(1, min(self.most, len(rest)) if self.most else 1)
+                size = max(1, min(self.most, left) if self.most else 1)
             self._emit(out, text, starts, cursor, cursor + size, last_break, reason)
             cursor = self._skip(text, cursor + size)
         return out
@@ -121,16 +123,19 @@ class Breaker:
                 content, at = content + text[at : edge - 1] + self.o.glue, edge
         out.append(Piece(content + text[at:b], first, last, last_break[0], last_break[1], reason))
 
-    def _find(self, ids, bounds, rest: str, cursor: int, page: int, window: int, last: int, width: int):
+    def _find(self, ids, bounds, text: str, cursor: int, page: int, window: int, last: int, width: int, stops: list[int]):
         """(length of the piece, breakpoint, word, reason)."""
-        if self.excluded(ids[page]) and page < last:
-            return bounds[page + 1] - cursor, None, None, None
-        for p in range(page + 1, window + 1):
-            if self.excluded(ids[p]):
-                return bounds[p] - cursor, None, None, None
+        if stops:
+            k = bisect_left(stops, page)
+            if k < len(stops) and stops[k] == page and page < last:
+                return bounds[page + 1] - cursor, None, None, None
+            k += k < len(stops) and stops[k] == page
+            if k < len(stops) and stops[k] <= window:
+                return bounds[stops[k]] - cursor, None, None, None
+        rest = text[cursor : cursor + max(width, 0) + 1]  # patterns see what comes before the piece as little as what comes after its window
         by_length = self.most is not None and width == self.most
         for i, (b, pattern, skip) in enumerate(zip(self.o.breakpoints, self.patterns, self.skips, strict=True)):
-            if not b.allows(ids[page]) or any(map(b.excludes, ids[page : window + 1])) or skip is not None and skip.search(rest):
+            if not b.allows(ids[page]) or b.exclude and any(map(b.excludes, ids[page : window + 1])) or skip is not None and skip.search(text[cursor:]):
                 continue
             if pattern is None:
                 edge = bounds[page + 1] - cursor

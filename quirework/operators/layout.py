@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +22,51 @@ def prepared(pages: DataFrame, transforms: tuple = ()) -> DataFrame:
     return pages.select("book_id", "page_seq", "page_id", content.alias("content"))
 
 
+def by_book(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with each book's in one task, one after the other: what a worker needs that goes from book to book."""
+    return rows.repartition("book_id").sortWithinPartitions("book_id", *order)
+
+
+#: Rows and characters that a worker gathers before it sends them.
+BATCH_ROWS, BATCH_CHARS = 4096, 1 << 22
+
+
+def batched(rows: Iterable[tuple], schema: pa.Schema, text: int) -> Iterator[pa.RecordBatch]:
+    """``rows`` in batches of bounded size; ``text`` is the place of their longest column."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[text] or "")
+        if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+#: Rows and bytes of a batch that a worker turns into Python's objects at once.
+PART_ROWS, PART_BYTES = 512, 1 << 22
+
+
+def parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches``, so that what is made of their rows is small however many come at once."""
+    for batch in batches:
+        step = max(1, min(PART_ROWS, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def books(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str | None, Iterator[tuple]]]:
+    """Each book_id with its rows, as they come: no more than a part of a batch is held."""
+    rows = (row for part in parts(batches) for row in zip(*(c.to_pylist() for c in part.columns), strict=True))
+    return groupby(rows, itemgetter(0))
+
+
 def page_offsets(pages: DataFrame) -> DataFrame:
     """book_id, page_seq, page_id, start, end of each page in the book joined by line breaks.
 
@@ -29,8 +79,7 @@ def page_offsets(pages: DataFrame) -> DataFrame:
 
 def lines(pages: DataFrame) -> DataFrame:
     """book_id, page_seq, page_id, line_no, local (offset within the page), line; narrow."""
-    parts = pages.select("book_id", "page_seq", "page_id", F.split("content", "\n", -1).alias("parts"))
-    exploded = parts.select("book_id", "page_seq", "page_id", F.posexplode(_with_offsets("parts")).alias("line_no", "x"))
+    exploded = pages.select("book_id", "page_seq", "page_id", F.posexplode(lines_of("content")).alias("line_no", "x"))
     return exploded.select("book_id", "page_seq", "page_id", "line_no", F.col("x.local").alias("local"), F.col("x.line").alias("line"))
 
 
@@ -52,9 +101,19 @@ def running_sums(sizes: Column) -> Column:
     return F.when(F.size(sizes) <= BLOCK, F.slice(ends(sizes), F.lit(1), F.size(sizes))).otherwise(long)
 
 
-def _with_offsets(parts: str):
-    local = running_sums(F.transform(parts, lambda p: F.length(p) + 1))
-    return F.transform(F.arrays_zip(F.col(parts).alias("line"), local.alias("local")), lambda z: F.struct(z["line"].alias("line"), z["local"].alias("local")))
+def lines_of(content: str) -> Column:
+    """The lines of a text with their offsets in it, as an array of (line, local)."""
+
+    def listed(parts: Column) -> Column:
+        local = bound(F.transform(parts, lambda p: F.length(p) + 1), running_sums)
+        return F.zip_with(parts, local, lambda line, at: F.struct(line.alias("line"), at.alias("local")))
+
+    return bound(F.split(content, "\n", -1), listed)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named: within lambdas Spark computes each mention."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def locate(points: DataFrame, pages: DataFrame, at: str = "idx") -> DataFrame:

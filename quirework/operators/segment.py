@@ -1,8 +1,9 @@
 """Segmentation: split points from rules, cut, and cut again where segments are too large.
 
-Rules that lines decide on their own are matched in the JVM, line by line, with no shuffle; all others are
-scanned book by book in a worker, which sends back points only.  Either way the cut itself is a window over
-fragments of pages, so a book's text meets in one place only as its segments.
+Pages are shuffled once, by book, and come to a worker in order.  Rules that lines decide on their own are matched
+in the JVM, line by line, before that, and then a book goes through the worker page by page; for all others, and
+where the last match of a book counts, it is held as a whole.  The same steps as columns, from ``split_points`` to
+``rebroken``, are what the tests compare with.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from ..functions import text as X
 from ..functions.dialect import for_java
 from ..plans.config import Options, Rule
 from .breaks import Breaker
-from .layout import lines, prepared
+from .cutter import Cutter, Mark, Segment, merged, once
+from .layout import batched, books, bound, by_book, lines_of, prepared
 from .scan import Book, Scanner
 
 POINT = "book_id string, page_seq long, local int, ord int, offset int, captured string, meta map<string,string>, word int"
@@ -90,31 +92,39 @@ def _hit(rule: Rule, k: int, line: Column, base: Column) -> Column:
     )
 
 
-def native_points(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Points of line-native rules: at a line's start the first rule that matches, then at its end."""
-    base = lines(pages)
-    starts = [_hit(r, k, F.col("line"), F.col("local")) for k, r in enumerate(rules) if r.kind != "lineEndsWith"]
+def native_marks(rules: tuple[Rule, ...]) -> Column:
+    """The marks of line-native rules in a page's text, as an array: at a line's start the first rule that matches, then at its end."""
+
     ends = [(k, r) for k, r in enumerate(rules) if r.kind == "lineEndsWith"]
-    found = base.select("book_id", "page_seq", "page_id", "local", "line", (F.coalesce(*starts) if starts else F.lit(None)).alias("start_hit"))
-    if not ends:
-        return found.where("start_hit.kept").select("book_id", "page_seq", *_fields("start_hit"))
-    if not starts:
-        taken = F.lit(0)
-    else:
-        taken = F.coalesce("start_hit.taken", F.lit(0))
-    rest = found.withColumn("taken", taken).withColumn("rest", F.expr("substring(line, taken + 1)"))
-    hits = [_hit(r, k, F.col("rest"), F.col("local") + F.col("taken")) for k, r in ends]
-    # leftmost of all end matches is the longest; equals go to the earlier rule
-    ranked = F.array_compact(F.array(*[F.when(h.isNotNull(), F.struct((-h["size"]).alias("by"), h["ord"].alias("then"), h.alias("hit"))) for h in hits]))
-    chosen = F.get(F.array_sort(F.transform(ranked, lambda x: F.struct(x["by"], x["then"]))), 0)
-    end_hit = F.get(F.filter(ranked, lambda x: (x["by"] == chosen["by"]) & (x["then"] == chosen["then"])), 0)["hit"]
-    rest = rest.withColumn("end_hit", end_hit)
-    out = rest.where("end_hit.kept").select("book_id", "page_seq", *_fields("end_hit"))
-    return out.unionByName(rest.where("start_hit.kept").select("book_id", "page_seq", *_fields("start_hit"))) if starts else out
 
+    def at_start(line: Column, local: Column) -> Column:
+        return F.coalesce(*[_hit(r, k, line, local) for k, r in enumerate(rules) if r.kind != "lineEndsWith"])
+
+    def at_end(rest: Column, base: Column) -> Column:
+        """Leftmost of all end matches is the longest; equals go to the earlier rule."""
+        ranked = F.array_compact(F.array(*[bound(_hit(r, k, rest, base), lambda h: F.when(h.isNotNull(), F.struct((-h["size"]).alias("by"), h["ord"].alias("then"), h.alias("hit")))) for k, r in ends]))
+        first = lambda a, b: F.when((a["by"] < b["by"]) | (a["by"] == b["by"]) & (a["then"] < b["then"]), a).otherwise(b)
+        return bound(ranked, lambda r: F.aggregate(r, F.get(r, 0), first)["hit"])
+
+    def of_line(line: Column, local: Column) -> Column:
+        if not ends:
+            return F.array(at_start(line, local))
+        if len(ends) == len(rules):
+            return F.array(at_end(line, local))
+
+        def both(start: Column) -> Column:
+            taken = F.coalesce(start["taken"], F.lit(0))
+            return F.array(start, at_end(F.substring(line, taken + 1, F.length(line)), local + taken))
+
+        return bound(at_start(line, local), both)
 
-def _fields(hit: str) -> list[Column]:
-    return [F.col(f"{hit}.{f}").alias(f) for f in ("local", "ord", "offset", "captured", "meta", "word")]
+    hits = F.flatten(F.transform(lines_of("content"), lambda z: of_line(z["line"], z["local"])))
+    return F.transform(F.filter(hits, lambda h: F.coalesce(h["kept"], F.lit(False))), lambda h: F.struct(*[h[f].alias(f) for f in ("local", "ord", "offset", "captured", "meta", "word")]))
+
+
+def native_points(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Points of line-native rules."""
+    return pages.select("book_id", "page_seq", F.explode(native_marks(rules)).alias("mark")).select("book_id", "page_seq", "mark.*")
 
 
 def scanned_points(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -281,21 +291,59 @@ def rebroken(segs: DataFrame, options: Options) -> DataFrame:
     return whole.unionByName(back)
 
 
+SEGMENT = "book_id string, seg_seq int, content string, from_id long, to_id long, meta map<string,string>"
+PROV = "struct<rule:struct<index:int,type:string,word:int>,breakpoint:struct<index:int,word:int>,length_reason:string>"
+
+
 def segment_pages(pages: DataFrame, options: dict | Options) -> DataFrame:
     """book_id, seg_seq, content, from_id, to_id (null on one page), meta, and prov with ``debug``."""
     o = Options.of(options)
     ready = prepared(pages, o.preprocess)
-    points = split_points(ready, o)
+    native, zones = all(map(line_native, o.rules)), None
     if o.dictionary is not None:
-        from .lexicon import dictionary_points
-
-        points = points.unionByName(dictionary_points(ready, o.dictionary, len(o.rules)))
-    segs = rebroken(assembled(cut(ready, merged_points(points), o), o), o)
-    seq = F.row_number().over(W.partitionBy("book_id").orderBy("seg_no", "piece"))
-    out = segs.withColumn("seg_seq", seq)
-    columns = ["book_id", "seg_seq", "content", "from_id", "to_id", "meta"]
-    if not o.debug:
-        return out.select(*columns)
-    kinds = F.array(*[F.lit(r.kind) for r in o.rules], F.lit("dictionary"))
-    prov = F.struct(F.when(F.col("ord").isNotNull(), F.struct(F.col("ord").alias("index"), F.get(kinds, F.col("ord")).alias("type"), F.col("word").alias("word"))).alias("rule"), F.struct(F.col("bp").alias("index"), F.col("bp_word").alias("word")).alias("breakpoint"), F.col("reason").alias("length_reason"))
-    return out.select(*columns, prov.alias("prov"))
+        from .lexicon import Finder, zoned
+
+        zones = Finder(o.dictionary)
+        ready = zoned(ready, o.dictionary)
+    if native and o.rules:
+        ready = ready.withColumn("marks", native_marks(o.rules))
+    whole = not native or any(r.occurrence == "last" for r in o.rules)  # the book is held
+    kinds = [r.kind for r in o.rules] + ["dictionary"]
+    fields = [("book_id", pa.string()), ("seg_seq", pa.int32()), ("content", pa.string()), ("from_id", pa.int64()), ("to_id", pa.int64()), ("meta", pa.map_(pa.string(), pa.string()))]
+    if o.debug:
+        rule = pa.struct([("index", pa.int32()), ("type", pa.string()), ("word", pa.int32())])
+        fields.append(("prov", pa.struct([("rule", rule), ("breakpoint", pa.struct([("index", pa.int32()), ("word", pa.int32())])), ("length_reason", pa.string())])))
+    arrow = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, scanner = Cutter(o), None if native else Scanner(o.rules)
+
+        def marked(rows: Iterator[tuple]) -> Iterator[tuple]:
+            """A book's pages with all their marks."""
+            before, seen = None, set()
+            for _, seq, page_id, content, *more in rows:
+                marks = [Mark(m["local"], m["ord"], m["offset"], m["captured"], dict(m["meta"]), m["word"]) for m in more[-1]] if native and o.rules else []
+                marks = [m for m in marks if o.rules[m.ord].occurrence != "first" or not (m.ord in seen or seen.add(m.ord))]
+                if zones is not None:
+                    marks += [Mark(at, len(o.rules), offset, None, meta) for at, offset, meta in zones.points(content, before, more[0])]
+                    before = content
+                yield seq, page_id, content, marks
+
+        def pages_of(rows: Iterator[tuple]) -> Iterator[tuple]:
+            if not whole:
+                return marked(rows)
+            held = list(marked(rows))
+            if scanner is not None:
+                for p in scanner.points(Book([p[1] for p in held], [p[2] for p in held])):
+                    held[p.page][3].append(Mark(p.local, p.rule, p.offset, p.captured, p.meta, p.word))
+            return once(held, o)
+
+        def rows_of(name: str, found: Iterator[Segment]) -> Iterator[tuple]:
+            for n, s in enumerate(found, 1):
+                row = name, n, s.content, s.from_id, s.to_id, list(s.meta.items())
+                yield (*row, {"rule": None if s.ord is None else {"index": s.ord, "type": kinds[s.ord], "word": s.word}, "breakpoint": {"index": s.bp, "word": s.bp_word}, "length_reason": s.reason}) if o.debug else row
+
+        every = (row for name, rows in books(batches) for row in rows_of(name, cutter.segments((*p[:3], merged(p[3])) for p in pages_of(rows))))
+        yield from batched(every, arrow, 2)
+
+    return by_book(ready, "page_seq").mapInArrow(run, SEGMENT + (f", prov {PROV}" if o.debug else ""))
