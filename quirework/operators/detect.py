@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.dialect import SPACE, compile_python
 from ..functions.templates import TOKENS
+from .layout import parts
 
 FIRST = "basmalah kitab bab fasl naql rumuz numbered raqms raqm tarqim bullet dash harf".split()
 ORDER = [*FIRST, *sorted(set(TOKENS) - set(FIRST))]
@@ -72,16 +74,21 @@ def detect_tokens(pages: DataFrame, content: str = "content", name: str = "token
     names = [*pages.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([detect(t.as_py()) for t in batch.column(at)], ARROW)], names)
+        for part in parts(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([detect(t.as_py()) for t in part.column(at)], ARROW)], names)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
     return pages.mapInArrow(run, f"{fields}, `{name}` {FOUND}")
 
 
 def token_counts(pages: DataFrame, content: str = "content") -> DataFrame:
-    """token, count over all texts."""
-    return detect_tokens(pages.select(content), content).select(F.explode("tokens.token").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    """token, count over all texts; a worker sends its sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counter(d["token"] for batch in batches for t in batch.column(0) for d in detect(t.as_py()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["token", "count"])
+
+    return pages.select(content).mapInArrow(run, "token string, count long").groupBy("token").agg(F.sum("count").alias("count"))
 
 
 def suggest_rules(lines: DataFrame, content: str = "line") -> DataFrame:
