@@ -265,7 +265,7 @@ k AS (SELECT *, {token("x")} AS t, CASE WHEN {token("x")} = 1 THEN 0 ELSE length
 g AS (SELECT *, lead(x) OVER p AS x2, lead(x, 2) OVER p AS x3, lead(t) OVER p AS t2, lead(t, 2) OVER p AS t3, lead(solid) OVER p AS s2, lead(solid, 2) OVER p AS s3 FROM k WINDOW p AS (PARTITION BY book_id, page_seq ORDER BY i)),
 n AS (SELECT book_id, page_seq, i, 1 AS n, x AS pattern, t AS tokens, solid FROM g UNION ALL SELECT book_id, page_seq, i, 2, x || '\\s*' || x2, t + t2, solid + s2 FROM g WHERE x2 IS NOT NULL
   UNION ALL SELECT book_id, page_seq, i, 3, x || '\\s*' || x2 || '\\s*' || x3, t + t2 + t3, solid + s2 + s3 FROM g WHERE x3 IS NOT NULL),
-s AS (SELECT pattern, count(*) AS count, min(tokens) AS tokens, min(solid) AS solid, min((book_id, page_seq, i, n)) AS seen FROM n WHERE tokens > 0 GROUP BY pattern ORDER BY seen LIMIT 1000),
+s AS (SELECT pattern, count(*) AS count, min(tokens) AS tokens, min(solid) AS solid, min((book_id, page_seq, i, n)) AS seen FROM n WHERE tokens > 0 GROUP BY pattern),
 repeats AS (SELECT pattern, count FROM s WHERE count >= {least} ORDER BY count DESC, tokens DESC, solid DESC, seen LIMIT {sequences}),
 mode AS (SELECT CASE WHEN dense AND top_line >= greatest(2, top_repeat) THEN 'structured' WHEN NOT dense AND top_repeat > top_line THEN 'continuous' ELSE 'mixed' END AS mode FROM (
   SELECT coalesce((SELECT max(count) FROM openings), 0) AS top_line, coalesce((SELECT max(count) FROM repeats), 0) AS top_repeat, (SELECT count(*) FROM lines) > (SELECT count(*) FROM pages) AS dense)),
