@@ -8,7 +8,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -104,11 +104,12 @@ def suggest_rules(lines: DataFrame, content: str = "line") -> DataFrame:
     )
 
 
-def page_detections(pages: DataFrame) -> DataFrame:
-    """zero_width, ellipses, spaced_waw: how often each cleanable thing occurs; one aggregate in the JVM."""
+def page_detections(pages: DataFrame, *more: Column) -> DataFrame:
+    """zero_width, ellipses, spaced_waw: how often each cleanable thing occurs, and ``more``; one aggregate in the JVM."""
     c = F.col("content")
     return pages.agg(
         F.coalesce(F.sum(F.regexp_count(c, F.lit(f"[{X.ZERO_WIDTH}\\u061C]"))), F.lit(0)).alias("zero_width"),
         F.coalesce(F.sum(F.regexp_count(c, F.lit(r"\.{3,}"))), F.lit(0)).alias("ellipses"),
         F.coalesce(F.sum(F.regexp_count(c, F.lit(rf"[{SPACE}]و[{SPACE}]+(?=[؀-ۿ])"))), F.lit(0)).alias("spaced_waw"),
+        *more,
     )
